@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import read
+from weftline.llm.decontaminate import decontaminate
 from weftline.llm.exact_dedup import exact_dedup
 from weftline.llm.line_dedup import deduplicated
 
@@ -18,7 +19,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup)}
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op7_decontamination)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
@@ -35,4 +41,20 @@ marked AS (SELECT doc_id, pos, line, often.k IS NOT NULL AND doc_id < keep AS go
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op7_decontamination": """
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+bn AS (SELECT item_id, ws, least(13, len(ws)) AS n FROM bw WHERE len(ws) > 0),
+bp AS (SELECT DISTINCT item_id, n, list_slice(ws, i, i + n - 1) AS ph FROM (SELECT item_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM bn)),
+dp AS (SELECT doc_id, n, i, list_slice(ws, i, i + n - 1) AS ph
+       FROM (SELECT doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM bp) WHERE len(ws) >= n)),
+hits AS (SELECT doc_id, item_id, i, dp.n AS n FROM dp JOIN bp USING (n, ph)),
+hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+       FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM dw LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
 }
