@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +38,13 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get."""
+def prepare(spark: SparkSession) -> None:
+    """Before Python runs on executors: send them this package once, and bound the Arrow batches they get."""
+    sc = spark.sparkContext
+    if getattr(sc, "_weftline_sent", None) is None:
+        top = Path(__file__).resolve().parents[1]
+        sc._weftline_sent = shutil.make_archive(str(Path(tempfile.mkdtemp()) / top.name), "zip", top.parent, top.name)
+        sc.addPyFile(sc._weftline_sent)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))

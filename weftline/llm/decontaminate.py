@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import tokens
-from weftline.llm.common import save, small_batches
+from weftline.llm.common import save, prepare
 
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
@@ -61,7 +61,7 @@ class Phrases:
 
 def build_index(docs: DataFrame, vocabulary: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored index of docs over the words whose hashes vocabulary (sorted) holds."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,6 +10,10 @@ from weftline.llm.decontaminate import decontaminate
 from weftline.llm.exact_dedup import exact_dedup
 from weftline.llm.line_dedup import deduplicated
 
+from weftline.llm.near_dedup import near_duplicates
+from weftline.llm import quality, toxicity
+from weftline.llm.labelled import fold, training_labels
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents")).drop("recipe")
@@ -19,12 +23,28 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, training_labels(read(spark, sf_dir, "labels"), "toxic", 4, 2))
+    return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("sentences").alias("n_sentences"))
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op7_decontamination)}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.train(docs, training_labels(read(spark, sf_dir, "labels"), "quality", 5, 0))
+    return quality.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op4_toxicity, op6_near_dedup, op7_decontamination, op8_quality)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """

@@ -57,6 +57,25 @@ def run_hashes(values: np.ndarray, keep: np.ndarray, starts: np.ndarray) -> tupl
     return h, at[first]
 
 
+def prefix_hashes(values: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first k bytes of the words that begin at `at` and are longer, and which words those are."""
+    padded = np.concatenate([values, np.zeros(k + 1, values.dtype)])
+    which = np.flatnonzero(_longer(padded, at, k))
+    h = np.full(len(which), k, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            h = (h ^ padded[at[which] + j].astype(np.uint64)) * _BASE
+            h ^= h >> np.uint64(29)
+    return mix(h), which
+
+
+def _longer(padded: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    ok = np.ones(len(at), bool)
+    for j in range(1, k + 1):
+        ok &= padded[at + j] != 0
+    return ok
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and byte position of every word, and each document's first word (with an end)."""
     low = WORD[data]
