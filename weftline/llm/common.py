@@ -72,3 +72,8 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, tot
     out = out.join(c, [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys] + [F.col("_salt") == F.col("_c_salt")], "left")
     picked = F.coalesce("_hot", "_cold")
     return out.select(*rows.columns, *[picked[v].alias(v) for v in values])
+
+
+def computed_once(name: str, expr: Column) -> Column:
+    """A column that the optimizer does not copy into later filters and lambdas, where it would be worked out again for each element."""
+    return F.explode(F.array(expr)).alias(name)

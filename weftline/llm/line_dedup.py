@@ -66,7 +66,7 @@ def drop_bitmaps(docs: DataFrame, min_length: int = 20, min_docs: int = 3) -> Da
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 20, min_docs: int = 3) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_dropped, dropped (sparse bitmap, null if all lines stay)."""
     rows = _numbered(docs, id_col, text_col)
-    out = rows.select("doc_id", "_d", "_t", F.size(lines(F.col("text"))).cast("long").alias("n_lines")).join(drop_bitmaps(rows, min_length, min_docs), ["_d", "_t"], "left")
+    out = rows.select("doc_id", "_d", "_t", n_lines(F.col("text")).alias("n_lines")).join(drop_bitmaps(rows, min_length, min_docs), ["_d", "_t"], "left")
     return out.select("doc_id", "n_lines", n_dropped(F.col("dropped")).alias("n_dropped"), "dropped")
 
 
@@ -74,16 +74,23 @@ def n_dropped(dropped: Column) -> Column:
     return F.coalesce(F.aggregate(dropped, F.lit(0).cast("long"), lambda s, w: s + F.bit_count(w["bits"])), F.lit(0).cast("long"))
 
 
-def apply_bitmap(text: Column, dropped: Column) -> Column:
-    """The text without the lines that the bitmap drops."""
-    gone = F.flatten(F.transform(dropped, lambda w: F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.call_function("getbit", w["bits"], i) == 1, w["word"] * 64 + i)), lambda p: p.isNotNull())))
-    each = lines(text)
-    left = F.array_except(F.sequence(F.lit(0), F.size(each) - 1), gone)
-    return F.when(dropped.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get(each, i)), "\n"))
+def n_lines(text: Column) -> Column:
+    whole = F.coalesce(text, F.lit(""))
+    return (F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long")
+
+
+def apply_bitmap(rows: DataFrame) -> DataFrame:
+    """rows with columns text and dropped: text without the lines that the bitmap drops."""
+    gone = F.flatten(F.transform("dropped", lambda w: F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.call_function("getbit", w["bits"], i) == 1, w["word"] * 64 + i)), lambda p: p.isNotNull())))
+    # split once a row: a column that is used twice is not inlined into the lambda below
+    rows = rows.withColumn("_lines", F.when(F.col("dropped").isNotNull(), lines(F.col("text"))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone)
+    kept = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
+    return rows.withColumn("text", F.when(F.col("dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept)).drop("_lines")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 20, min_docs: int = 3) -> DataFrame:
     """doc_id, n_lines, n_dropped and the kept text of every row."""
     rows = _numbered(docs, id_col, text_col)
-    out = rows.join(drop_bitmaps(rows, min_length, min_docs), ["_d", "_t"], "left")
-    return out.select("doc_id", F.size(lines(F.col("text"))).cast("long").alias("n_lines"), n_dropped(F.col("dropped")).alias("n_dropped"), apply_bitmap(F.col("text"), F.col("dropped")).alias("text"))
+    out = rows.join(drop_bitmaps(rows, min_length, min_docs), ["_d", "_t"], "left").withColumn("n_lines", n_lines(F.col("text")))
+    return apply_bitmap(out).select("doc_id", "n_lines", n_dropped(F.col("dropped")).alias("n_dropped"), "text")

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm import license_scan, quality, toxicity
 from weftline.llm.common import read
 from weftline.llm.decontaminate import decontaminate
 from weftline.llm.exact_dedup import exact_dedup
+from weftline.llm.html_text import main_text
+from weftline.llm.labelled import fold, training_labels
 from weftline.llm.line_dedup import deduplicated
-
 from weftline.llm.near_dedup import near_duplicates
-from weftline.llm import quality, toxicity
-from weftline.llm.labelled import fold, training_labels
+from weftline.llm.piece_lattice import round_trip
+from weftline.llm.token_files import read_tokens, write_tokens
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,12 +29,20 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tokens(write_tokens(read(spark, sf_dir, "documents"), TOKENIZER)).drop("ids")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.train(docs, training_labels(read(spark, sf_dir, "labels"), "toxic", 4, 2))
     return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("sentences").alias("n_sentences"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(read(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -44,9 +58,18 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op4_toxicity, op6_near_dedup, op7_decontamination, op8_quality)}
+def op9_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_token_files, op4_toxicity, op5_license_scan, op6_near_dedup, op7_decontamination, op8_quality, op9_piece_lattice, op10_main_text)}
 
 ORACLE_SQL = {
+    "op5_license_scan": license_scan.oracle(),
     "op1_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
