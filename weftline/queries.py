@@ -2,6 +2,318 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from weftline.functions import es5
+from weftline.operators import documents, lifting, models, vectors
+from weftline.plans import graph as g
+from weftline.sources import kv
+from weftline.streaming import jobs
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "similarity_topk"
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+g.register(g.Operator("Scan", lambda spark, path: {"table": spark.read.parquet(path)}, [g.Port("spark"), g.Port("path", "text", required=True)], [g.Port("table", "table")]))
+g.register(g.Operator("TopK", lambda table, query, k: {"table": vectors.top_k(table, query, k)}, [g.Port("table", "table", required=True), g.Port("query", "number", True), g.Port("k", "number")], [g.Port("table", "table")]))
+g.register(g.Operator("Select", lambda table, columns: {"table": table.select(*columns)}, [g.Port("table", "table", required=True), g.Port("columns", "text", True)], [g.Port("table", "table")]))
+g.register(g.Operator("DebugLog", lambda table, log_level: {"table": table}, [g.Port("table", "table", required=True), g.Port("log_level", "log_level", default="info")], [g.Port("table", "table")], side_effects=True))
+g.register(g.Operator("Lambda", lambda fn, input: {"output": fn(input)}, [g.Port("fn", "function", required=True), g.Port("input")], [g.Port("output")]))
+
+_DOT = "list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+_MAG = "sqrt(list_dot_product(CAST({0}.embedding AS DOUBLE[]), CAST({0}.embedding AS DOUBLE[])))"
+_Q = "(SELECT embedding FROM embeddings WHERE vec_id = 0) q"
+
+
+def _vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
+    return [float(x) for x in t(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).first().embedding]
+
+
+@query(f"SELECT v.vec_id, v.label, {_DOT} / ({_MAG.format('v')} * {_MAG.format('q')}) AS score FROM embeddings v, {_Q} ORDER BY score DESC, vec_id LIMIT 10")
+def similarity_topk(spark, sf_dir):
+    b = g.Builder().add("Scan", spark=spark, path=f"{sf_dir}/embeddings.parquet").add("TopK", query=_vector(spark, sf_dir), k=10).add("Select", columns=["vec_id", "label", "score"])
+    return b.run()[0]["table"]
+
+
+@query(f"SELECT v.vec_id, 1.0 - (1.0 - {_DOT}) / ({_MAG.format('v')} * {_MAG.format('q')}) AS score FROM embeddings v, {_Q}")
+def similarity_reference(spark, sf_dir):
+    return vectors.top_k(t(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), None, metric="reference").select("vec_id", "score")
+
+
+@query(f"SELECT v.vec_id, 1.0 - {_DOT} AS distance, {_MAG.format('v')} AS magnitude FROM embeddings v, {_Q}")
+def vector_inner_magnitude(spark, sf_dir):
+    q = F.array(*[F.lit(x) for x in _vector(spark, sf_dir)])
+    return t(spark, sf_dir, "embeddings").select("vec_id", vectors.inner(F.col("embedding"), q).alias("distance"), vectors.magnitude(F.col("embedding")).alias("magnitude"))
+
+
+@query(f"SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) / {_MAG.format('v')} AS x FROM embeddings v, range(64) r(i)")
+def vector_normalize(spark, sf_dir):
+    e = vectors.checked_dimension(F.col("embedding"), 64)
+    return t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vectors.normalize(e)).alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("i"), "x")
+
+
+@query("""SELECT v.vec_id, CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(a || b)) AS jaccard FROM
+(SELECT vec_id, list_distinct(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 20) AS INT))) AS a FROM embeddings) v,
+(SELECT list_distinct(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 20) AS INT))) AS b FROM embeddings WHERE vec_id = 0) q""")
+def similarity_jaccard(spark, sf_dir):
+    grid = lambda c: F.array_distinct(F.transform(c, lambda x: F.floor(x.cast("double") * 20).cast("int")))
+    q = F.array(*[F.lit(x) for x in _vector(spark, sf_dir)])
+    return t(spark, sf_dir, "embeddings").select("vec_id", vectors.score(grid(F.col("embedding")), grid(q), "jaccard").alias("jaccard"))
+
+
+@query("""SELECT v.vec_id, CAST(len(list_filter(range(1, 65), lambda i: (v.embedding[i] > 0) <> (q.embedding[i] > 0))) AS INT) AS hamming FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q""")
+def similarity_hamming(spark, sf_dir):
+    sign = lambda c: F.transform(c, lambda x: (x > 0).cast("int"))
+    q = F.array(*[F.lit(x) for x in _vector(spark, sf_dir)])
+    return t(spark, sf_dir, "embeddings").select("vec_id", vectors.score(sign(F.col("embedding")), sign(q), "hamming").alias("hamming"))
+
+
+@query("""WITH a AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS ks FROM orders GROUP BY 1)
+SELECT o_custkey, k, m, (list_position(ks, k) - 1) * 3 + list_position(['air', 'rail', 'ship'], m) AS child
+FROM (SELECT o_custkey, ks, unnest(ks) AS k FROM a), (SELECT unnest(['air', 'rail', 'ship']) AS m)""")
+def lifted_combinations(spark, sf_dir):
+    rows = t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("k"))
+    return lifting.combinations(rows.withColumn("m", F.array(F.lit("air"), F.lit("rail"), F.lit("ship"))), ["k", "m"])
+
+
+@query("SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_quantity, l_returnflag) AS quantity, list(l_returnflag ORDER BY l_linenumber, l_quantity, l_returnflag) AS flag FROM lineitem GROUP BY 1")
+def lifted_collect(spark, sf_dir):
+    rows = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"))
+    return lifting.collect(rows, ["l_orderkey"], "l_linenumber", ["quantity", "flag"])
+
+
+_EDGES = "(SELECT 'r' || r_regionkey AS source, 'n' || n_nationkey AS target FROM region JOIN nation ON r_regionkey = n_regionkey UNION ALL SELECT 'n' || n_nationkey, 'c' || c_custkey FROM nation JOIN customer ON n_nationkey = c_nationkey)"
+
+
+def _edges(spark, sf_dir) -> DataFrame:
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nation = t(spark, sf_dir, "nation")
+    a = nation.select(name("r", "n_regionkey").alias("source"), name("n", "n_nationkey").alias("target"))
+    return a.unionByName(t(spark, sf_dir, "customer").select(name("n", "c_nationkey").alias("source"), name("c", "c_custkey").alias("target")))
+
+
+@query(f"""WITH e AS {_EDGES}, n AS (SELECT source AS id FROM e UNION SELECT target FROM e)
+SELECT id, CASE substr(id, 1, 1) WHEN 'r' THEN 0 WHEN 'n' THEN 1 ELSE 2 END AS layer FROM n""")
+def graph_layers(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    return g.table_layers(e.select(F.col("source").alias("id")).union(e.select("target")).distinct(), e)
+
+
+@query(f"SELECT source AS id, count(*) AS n_targets FROM {_EDGES} GROUP BY 1")
+def graph_target_flows(spark, sf_dir):
+    return _edges(spark, sf_dir).groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n_targets"))
+
+
+@query("""SELECT c_nationkey AS target, CASE WHEN count(*) = 1 THEN 'object' ELSE 'array' END AS form, list(c_custkey ORDER BY c_custkey) AS sources FROM customer GROUP BY 1""")
+def graph_dependency_fold(spark, sf_dir):
+    out = t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("target")).agg(F.array_sort(F.collect_list("c_custkey")).alias("sources"))
+    return out.withColumn("form", F.when(F.size("sources") == 1, "object").otherwise("array"))
+
+
+@query("SELECT l_orderkey, source, target FROM (SELECT l_orderkey, l_linenumber AS source, lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS target FROM lineitem) WHERE target IS NOT NULL")
+def graph_serial_edges(spark, sf_dir):
+    rows = t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("source"), F.lead("l_linenumber").over(W.partitionBy("l_orderkey").orderBy("l_linenumber")).alias("target"))
+    return rows.filter(F.col("target").isNotNull())
+
+
+@query("SELECT user_id, event_id, ts, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def kv_last_write(spark, sf_dir):
+    return kv.last_write(t(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value"), ["user_id"], ["ts", "event_id"])
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'changed' ELSE c_mktsegment END AS segment FROM customer
+UNION ALL SELECT c_custkey + 10000000, 'new' FROM customer WHERE c_custkey % 5 = 0""")
+def kv_upsert(spark, sf_dir):
+    rows = t(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    new = rows.filter("c_custkey % 3 = 0").withColumn("segment", F.lit("changed"))
+    more = rows.filter("c_custkey % 5 = 0").select((F.col("c_custkey") + 10000000).alias("c_custkey"), F.lit("new").alias("segment"))
+    return kv.KVTable(rows, ["c_custkey"]).put(new.unionByName(more)).get_all()
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+def kv_search(spark, sf_dir):
+    table = kv.KVTable(t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), ["o_orderkey"], ["o_orderstatus"])
+    return table.search({"o_orderstatus": "F", "o_orderpriority": "1-URGENT"})
+
+
+@query("SELECT count(*) AS size FROM orders WHERE o_orderkey <> 7")
+def kv_delete_size(spark, sf_dir):
+    return kv.KVTable(t(spark, sf_dir, "orders"), ["o_orderkey"]).delete({"o_orderkey": 7}).size()
+
+
+_FP = "sha256('{\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}')"
+
+
+@query(f"SELECT n_nationkey, {_FP} AS fingerprint, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS cached FROM nation")
+def memo_probe(spark, sf_dir):
+    rows = t(spark, sf_dir, "nation").withColumn("fingerprint", kv.fingerprint(["n_regionkey", "n_nationkey"]))
+    held = rows.filter("n_nationkey % 2 = 0").select("fingerprint", F.col("n_name").alias("cached"))
+    return rows.select("n_nationkey", "fingerprint").join(held, "fingerprint", "left")
+
+
+def _catalog(spark, sf_dir) -> kv.ModelCatalog:
+    parts = t(spark, sf_dir, "part").filter("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("name"), "p_brand", "p_size")
+    return kv.ModelCatalog(parts, t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("task"), F.col("l_partkey").alias("model")).distinct())
+
+
+@query("SELECT DISTINCT p_partkey AS name, p_brand, p_size FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey = 7 AND p_partkey % 4 <> 0")
+def models_by_task(spark, sf_dir):
+    return _catalog(spark, sf_dir).models_by_task(7)
+
+
+@query("SELECT DISTINCT l_suppkey AS task FROM lineitem WHERE l_partkey = 3")
+def tasks_by_model(spark, sf_dir):
+    return _catalog(spark, sf_dir).tasks_by_model(3)
+
+
+@query("SELECT DISTINCT l_suppkey AS task, l_partkey AS model FROM lineitem WHERE l_partkey % 4 = 0 OR l_partkey NOT IN (SELECT p_partkey FROM part)")
+def models_dangling(spark, sf_dir):
+    return _catalog(spark, sf_dir).dangling()
+
+
+@query("SELECT doc_id, ord, content FROM (SELECT doc_id, unnest(p) AS content, generate_subscripts(p, 1) - 1 AS ord FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS p FROM documents))")
+def document_paragraphs(spark, sf_dir):
+    return documents.paragraphs(t(spark, sf_dir, "documents"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS ord FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
+SELECT doc_id, count(*) AS n, sum(length(line)) AS chars FROM l WHERE line <> '' GROUP BY 1""")
+def document_line_counts(spark, sf_dir):
+    return documents.paragraphs(t(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+
+
+@query()
+def markdown_fragments(spark, sf_dir):
+    return documents.markdown_fragments(t(spark, sf_dir, "documents"))
+
+
+@query()
+def document_splitter(spark, sf_dir):
+    return documents.flat_texts(documents.markdown_fragments(t(spark, sf_dir, "documents")))
+
+
+@query("""SELECT p_partkey, p_name[2:2] AS char_at, strpos(p_name, 'a') - 1 AS index_of, CASE WHEN strpos(reverse(p_name), 'a') = 0 THEN -1 ELSE length(p_name) - strpos(reverse(p_name), 'a') END AS last_index,
+p_name[3:5] AS sliced, right(p_name, 3) AS tail, upper(p_name) AS up, regexp_replace(p_name, 'a', '_') AS replaced, string_split(p_name, ' ')[1:2] AS parts, length(regexp_extract_all(p_name, '[aeiou]')) AS vowels FROM part""")
+def es5_strings(spark, sf_dir):
+    s = F.col("p_name")
+    return t(spark, sf_dir, "part").select("p_partkey", es5.char_at(s, 1).alias("char_at"), es5.index_of(s, F.lit("a")).alias("index_of"), es5.last_index_of(s, "a").alias("last_index"), es5.slice_text(s, 2, 5).alias("sliced"), es5.slice_text(s, -3).alias("tail"), F.upper(s).alias("up"), es5.replace_first(s, "a", "_").alias("replaced"), es5.split(s, " ", 2).alias("parts"), F.size(es5.match_all(s, "[aeiou]")).alias("vowels"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, floor(l_extendedprice + 0.5)::BIGINT AS rounded, CAST(l_quantity AS INT) & 12 AS a, CAST(l_quantity AS INT) | 3 AS o, xor(CAST(l_quantity AS INT), 5) AS x,
+CAST(l_quantity AS INT) << 2 AS sh, CAST(l_quantity AS BIGINT) >> 1 AS sr, greatest(l_quantity, 10.0) AS mx, l_discount <> 0 AS truthy, CASE WHEN l_discount <> 0 THEN l_discount ELSE -1.0 END AS either FROM lineitem""")
+def es5_numbers(spark, sf_dir):
+    q = es5.to_int32(F.col("l_quantity"))
+    d = F.col("l_discount")
+    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", es5.round_half_up(F.col("l_extendedprice")).alias("rounded"), q.bitwiseAND(12).alias("a"), q.bitwiseOR(3).alias("o"), q.bitwiseXOR(5).alias("x"), F.shiftleft(q, 2).alias("sh"), es5.shift_right_unsigned(q, 1).alias("sr"), F.greatest("l_quantity", F.lit(10.0)).alias("mx"), es5.truthy_number(d).alias("truthy"), es5.either(d, F.lit(-1.0), es5.truthy_number(d)).alias("either"))
+
+
+@query("""SELECT event_id, year(ts)::INT AS full_year, month(ts)::INT - 1 AS month, day(ts)::INT AS date, dayofweek(ts)::INT AS day, hour(ts)::INT AS hours, minute(ts)::INT AS minutes, second(ts)::INT AS seconds, epoch_us(ts) // 1000 AS time,
+strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso FROM events""")
+def es5_dates(spark, sf_dir):
+    ts = F.col("ts")
+    return t(spark, sf_dir, "events").select("event_id", *[c.alias(n) for n, c in es5.date_parts(ts).items()], es5.iso(ts).alias("iso"))
+
+
+@query("""WITH a AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS ks FROM lineitem GROUP BY 1)
+SELECT l_orderkey, array_to_string(list_sort(list_transform(ks, lambda x: CAST(x AS VARCHAR))), ',') AS sorted, array_to_string(ks[1:2], '-') AS head, ks[len(ks)] AS popped, list_sum(ks)::BIGINT AS total,
+len(list_filter(ks, lambda x: x % 2 = 0)) AS evens, coalesce(list_position(ks, ks[2]) - 1, -1)::INT AS at FROM a""")
+def es5_arrays(spark, sf_dir):
+    rows = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda r: r["l_partkey"]).alias("ks"))
+    ks = F.col("ks")
+    return rows.select("l_orderkey", es5.array_join(es5.sort_as_text(ks)).alias("sorted"), es5.array_join(es5.array_slice(ks, 0, 2), "-").alias("head"), F.element_at(ks, -1).alias("popped"), es5.reduce(ks, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.size(F.filter(ks, lambda x: x % 2 == 0)).alias("evens"), F.coalesce(es5.array_index_of(ks, F.get(ks, 1)), F.lit(-1)).alias("at"))
+
+
+def _jobs(spark, sf_dir) -> DataFrame:
+    e = t(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("id"), F.col("event_type").alias("queue"), F.col("ts").alias("created_at"), (F.col("ts") + F.expr("make_interval(0, 0, 0, 0, 0, cast(event_id % 90 as int), 0)")).alias("run_after"), F.when(F.col("event_id") % 3 == 0, "COMPLETED").otherwise("NEW").alias("status"), (F.col("event_id") % 4).cast("int").alias("retries"), F.when(F.col("event_id") % 5 < 2, "boom").alias("error"), (F.col("event_id") % 2 == 0).alias("retryable"), "user_id", "value")
+
+
+_JOBS = "(SELECT event_id AS id, event_type AS queue, ts AS created_at, ts + to_minutes(CAST(event_id % 90 AS INT)) AS run_after, CASE WHEN event_id % 3 = 0 THEN 'COMPLETED' ELSE 'NEW' END AS status, CAST(event_id % 4 AS INT) AS retries, CASE WHEN event_id % 5 < 2 THEN 'boom' END AS error, event_id % 2 = 0 AS retryable, user_id, value FROM events)"
+
+
+@query(f"SELECT id, CASE WHEN error IS NULL THEN 'COMPLETED' WHEN retryable AND retries + 1 < 3 THEN 'NEW' ELSE 'FAILED' END AS status FROM {_JOBS}")
+def job_transitions(spark, sf_dir):
+    return _jobs(spark, sf_dir).select("id", jobs.completed_status(F.col("error"), F.col("retryable"), F.col("retries"), F.lit(3)).alias("status"))
+
+
+@query(f"SELECT queue, count(*) FILTER (status = 'NEW') AS waiting, count(*) FILTER (status = 'COMPLETED') AS completed, count(*) AS total, sum(retries) AS retried FROM {_JOBS} GROUP BY 1")
+def job_stats(spark, sf_dir):
+    return _jobs(spark, sf_dir).groupBy("queue").agg(F.count_if(F.col("status") == "NEW").alias("waiting"), F.count_if(F.col("status") == "COMPLETED").alias("completed"), F.count("*").alias("total"), F.sum("retries").alias("retried"))
+
+
+@query(f"SELECT id, queue, run_after FROM {_JOBS} WHERE status = 'NEW' AND run_after > (SELECT min(ts) + INTERVAL 1 DAY FROM events) ORDER BY run_after, id LIMIT 100")
+def job_peek(spark, sf_dir):
+    first = t(spark, sf_dir, "events").agg(F.min("ts")).first()[0]
+    return jobs.peek(_jobs(spark, sf_dir), F.lit(first) + F.expr("INTERVAL 1 DAY")).select("id", "queue", "run_after")
+
+
+@query(f"SELECT id, queue FROM {_JOBS} WHERE status = 'NEW' AND run_after <= (SELECT min(ts) + INTERVAL 1 DAY FROM events) ORDER BY created_at, id LIMIT 1")
+def job_next(spark, sf_dir):
+    first = t(spark, sf_dir, "events").agg(F.min("ts")).first()[0]
+    return jobs.next_job(_jobs(spark, sf_dir), F.lit(first) + F.expr("INTERVAL 1 DAY")).select("id", "queue")
+
+
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type OR before IS NULL")
+def job_progress_changes(spark, sf_dir):
+    return jobs.changes(t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts"), "user_id", ["ts", "event_id"], ["event_type"]).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS in_window FROM events")
+def limiter_window_counts(spark, sf_dir):
+    return jobs.window_counts(t(spark, sf_dir, "events"), "user_id", "ts", 86400).select("event_id", "in_window")
+
+
+@query()
+def limiter_replay(spark, sf_dir):
+    return jobs.replay_limiter(t(spark, sf_dir, "events"), "user_id", "ts", "event_id", 4, 86400)
+
+
+@query("""WITH e AS (SELECT event_type, ts AS moment, 1 AS d FROM events UNION ALL SELECT event_type, ts + to_minutes(CAST(event_id % 90 AS INT) + 1), -1 FROM events), s AS (SELECT event_type, moment, sum(d) AS d FROM e GROUP BY ALL)
+SELECT event_type, moment, CAST(sum(d) OVER (PARTITION BY event_type ORDER BY moment) AS BIGINT) AS running FROM s""")
+def limiter_running(spark, sf_dir):
+    rows = t(spark, sf_dir, "events").withColumn("end", F.col("ts") + F.expr("make_interval(0, 0, 0, 0, 0, cast(event_id % 90 as int) + 1, 0)"))
+    return jobs.running_counts(rows, "event_type", "ts", "end")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    return jobs.windowed_counts(t(spark, sf_dir, "events"), "ts", "event_type", "1 hour")
+
+
+@query("SELECT event_type, min(event_id) AS first_seen FROM events GROUP BY 1")
+def distinct_in_order(spark, sf_dir):
+    return t(spark, sf_dir, "events").groupBy("event_type").agg(F.min("event_id").alias("first_seen"))
+
+
+@query("SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT n_name FROM nation")
+def bag_union(spark, sf_dir):
+    n = t(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
+    return n.unionByName(t(spark, sf_dir, "region").select(F.col("r_name").alias("name"))).unionByName(n)
+
+
+@query("SELECT c_custkey, CAST(round(least(100 * (1 - exp(-0.05 * c_nationkey)), 100)) AS DOUBLE) AS progress, least(100.0, greatest(0.0, c_acctbal)) AS clamped FROM customer")
+def progress_values(spark, sf_dir):
+    return t(spark, sf_dir, "customer").select("c_custkey", es5.progress_curve(F.col("c_nationkey")).alias("progress"), jobs.clamp_progress(F.col("c_acctbal")).alias("clamped"))
+
+
+@query()
+def text_embedding(spark, sf_dir):
+    docs = t(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return models.dispatch(docs, "TextEmbeddingTask", "offline", ["text"], "vector").select("conv_id", "turn", "vector")
