@@ -9,10 +9,14 @@ LCS / (n + m - LCS) >= threshold. That needs every matched pair to lie within a
 (n + m) (1 - threshold) / (1 + threshold) positions, which bounds the alignment without loss.
 
 Documents that share a sketch form a bucket; a bucket is never expanded into all pairs: its
-members are aligned with one representative, those that do not match meet again in buckets
-refined by a second sketch, there with HEADS others in each pass, until each has been matched
-or stands alone. A pair at similarity 0.8 shares each sketch with probability 0.51 (0.8 to the
-third), so one of SKETCHES sketches with probability 1 - 1e-5.
+members are compared with one representative, then with HEADS others in each pass (in a large
+bucket after it was split by a second sketch); a representative leaves once it was compared with
+all, as do the members that it matched, and of the rest one member stands for each class that
+is known so far, until none are left. Pairs that share fewer than LEAST_SHARED of all sketches are not
+aligned: a pair at similarity 0.8 shares each sketch with probability 0.51 (0.8 to the third),
+so at least two of SKETCHES with probability 1 - 1.3e-5; that, and links
+between members of a bucket that matched different representatives, is all that can be missed;
+a pair meets in ten buckets on average.
 
 Cases: null text counts as empty; a null id sorts below all others; rows that repeat an id get
 the same class if their texts are the same; other columns are ignored.
@@ -29,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import tokens
-from weftline.llm.common import HOT_SHARE, attach, save, prepare
+from weftline.llm.common import HOT_SHARE, attach, discard, prepare, save
 
-K, K_MIN, SKETCHES, THRESHOLD = 5, 3, 16, 0.8
+K, K_MIN, SKETCHES, THRESHOLD = 5, 3, 20, 0.8
+#: Sketches that a pair must share to be aligned, and the size from which a bucket's rest is refined.
+LEAST_SHARED, LARGE = 2, 64
 #: Representatives of a bucket in one later pass.
 HEADS = 6
 NO_ID = -(2**63)
@@ -127,16 +133,24 @@ def similarity(x: np.ndarray, y: np.ndarray, least: float) -> float:
     return lcs / (total - lcs) if lcs >= need else 0.0
 
 
-def verify(pairs: DataFrame, kmers: DataFrame, threshold: float) -> DataFrame:
-    """The (rep, id) of pairs whose alignment reaches the threshold. kmers: (id, kmers) of all ids in pairs."""
-    pairs = save(pairs, "pairs")
-    total = pairs.count()
+def paired(pairs: DataFrame, values: DataFrame, total: int) -> DataFrame:
+    """pairs (rep, id) with the values (id, v) of both as x and y; the rows of a frequent rep are dealt out."""
     often = pairs.groupBy("rep").agg(F.count("*").alias("c")).filter(F.col("c") * HOT_SHARE > total)
     often = often.select(F.col("rep"), F.ceil(F.col("c") * HOT_SHARE / F.lit(max(total, 1))).cast("int").alias("parts"))  # fewer than HOT_SHARE rows, parts sum to 2 HOT_SHARE at most
     left = pairs.join(F.broadcast(often), "rep", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-    reps = kmers.join(F.broadcast(often), F.col("id") == F.col("rep"), "left").select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("part"), F.col("kmers").alias("x"))
-    # a document has at most one pair for each of its buckets, so ids are never hot
-    joined = left.join(kmers.withColumnRenamed("kmers", "y"), "id").join(reps, ["rep", "part"]).select("rep", "id", "x", "y")
+    reps = values.join(F.broadcast(often), F.col("id") == F.col("rep"), "left").select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("part"), F.col("v").alias("x"))
+    # a document has a few pairs for each of its buckets, so ids are never hot
+    return left.join(values.withColumnRenamed("v", "y"), "id").join(reps, ["rep", "part"]).select("rep", "id", "x", "y")
+
+
+def verify(pairs: DataFrame, groups: DataFrame, src: DataFrame, threshold: float) -> DataFrame:
+    """The (rep, id) of pairs whose alignment reaches the threshold."""
+    tried = save(pairs, "tried")
+    sketches = groups.select(F.col("rep").alias("id"), F.col("sketches").alias("v"))
+    shared = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
+    pairs = save(paired(tried, sketches, tried.count()).filter(shared >= LEAST_SHARED).select("rep", "id"), "pairs")
+    kmers = _kmers(src, pairs.select("id").union(pairs.select("rep")).distinct())
+    joined = paired(pairs, kmers, pairs.count())
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +163,9 @@ def verify(pairs: DataFrame, kmers: DataFrame, threshold: float) -> DataFrame:
             ok = [similarity(xs[xo[k] : xo[k + 1]], ys[yo[k] : yo[k + 1]], threshold) >= threshold for k in range(batch.num_rows)]
             yield batch.select(["rep", "id"]).filter(pa.array(ok, pa.bool_()))
 
-    return save(joined.mapInArrow(align, "rep bigint, id bigint"), "links")
+    found = save(joined.mapInArrow(align, "rep bigint, id bigint"), "links")
+    discard(tried, pairs, kmers)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -162,9 +178,12 @@ def components(links: DataFrame) -> DataFrame:
         step = save(labels.join(best, "id").select("id", F.col("label").alias("was"), F.least("label", "m").alias("label")), "step")
         up = step.select(F.col("id").alias("label"), F.col("label").alias("top"))  # labels are ids of the component
         after = save(step.join(up, "label").select("id", "was", F.least("label", "top").alias("label")), "labels")
-        if not after.filter("was <> label").limit(1).count():
+        changed = after.filter("was <> label").limit(1).count()
+        discard(labels, best, step)
+        labels = after
+        if not changed:
+            discard(edges)
             return after.select("id", "label")
-        labels = after.select("id", "label")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -176,36 +195,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = rows.count()
     groups = save(rows.groupBy("a", "b").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("sketches").alias("sketches")), "groups")
 
-    each = groups.select(F.col("rep").alias("id"), "n", F.posexplode("sketches").alias("j", "s")).select("id", "n", F.xxhash64("j", "s").alias("bucket"), "j")
+    each = groups.select(F.col("rep").alias("id"), "n", F.posexplode("sketches").alias("j", "s")).select("id", "n", F.xxhash64("j", "s").alias("bucket"), "j", F.col("id").alias("label"), F.lit(1).cast("long").alias("weight"))
     links = None
-    kmers = None
     level = 0
     while True:
         level += 1
-        # the first representative is the same in all buckets of a group; later ones are several and differ by bucket
-        order = F.col("id") if level == 1 else F.xxhash64("bucket", "id", F.lit(level))
-        part = F.lit(0) if level == 1 else F.pmod(order, F.lit(HEADS))
-        picked = [F.min_by(F.when(part == c, F.struct("id", "n")), F.when(part == c, order)) for c in range(1 if level == 1 else HEADS)]
-        heads = each.groupBy("bucket").agg(F.array_compact(F.array(*picked)).alias("heads"), F.count("*").alias("size")).filter("size > 1")
+        # the first representative is the same in all buckets of a group; later ones are several, from small classes first
+        order = F.struct("id") if level == 1 else F.struct("weight", F.xxhash64("bucket", "id"))
+        part = F.lit(0) if level == 1 else F.pmod(F.xxhash64("id", F.lit(level)), F.lit(HEADS))
+        picked = [F.min_by(F.when(part == c, F.struct("id", "n", "label")), F.when(part == c, order)) for c in range(1 if level == 1 else HEADS)]
+        # a bucket whose members are of one class already has no more to tell
+        open_ = (F.count("*") > 1) & (F.min("label") != F.max("label"))
+        heads = each.groupBy("bucket").agg(F.array_compact(F.array(*picked)).alias("heads"), F.count("*").alias("size"), open_.alias("open")).filter("open").drop("open")
         heads = save(heads, "heads")
         size = heads.agg(F.sum("size")).first()[0]
         if not size:
+            discard(heads)
             break
         members = save(attach(each, heads, ["bucket"], "size", size, F.xxhash64("id")).filter(F.col("heads").isNotNull()), "members")
         is_head = F.array_contains("heads.id", F.col("id"))
-        tried = members.select("bucket", "id", "n", F.explode("heads").alias("h"), is_head.alias("is_head")).filter(F.when(F.col("is_head"), F.col("h.id") < F.col("id")).otherwise(True))
+        tried = members.select("bucket", "id", "n", "label", F.explode("heads").alias("h"), is_head.alias("is_head")).filter(F.when(F.col("is_head"), F.col("h.id") < F.col("id")).otherwise(True))
         fits = F.least("n", "h.n") >= threshold * F.greatest("n", "h.n")  # else the threshold is out of reach
-        pairs = tried.filter(fits).select(F.col("h.id").alias("rep"), "id").distinct()
-        if kmers is None:
-            kmers = _kmers(src, members)
-        found = verify(pairs, kmers, threshold)
+        pairs = tried.filter(fits & (F.col("h.label") != F.col("label"))).select(F.col("h.id").alias("rep"), "id").distinct()
+        found = verify(pairs, groups, src, threshold)
         links = found if links is None else links.unionByName(found)
+        labels = components(links)
+        weights = labels.groupBy("label").agg(F.count("*").alias("weight"))
+        labels = save(attach(labels, weights, ["label"], "weight", total, F.xxhash64("id")), "labelled")
         done = tried.join(found, (F.col("h.id") == found["rep"]) & (tried["id"] == found["id"]), "left_semi").select("bucket", "id").distinct()
-        each = members.filter(~is_head).join(done, ["bucket", "id"], "left_anti").select("id", "n", "bucket", "j")
+        rest = members.filter(~is_head).join(done, ["bucket", "id"], "left_anti").select("id", "n", "bucket", "j", "size").join(labels, "id", "left")
+        rest = rest.select("id", "n", "bucket", "j", "size", F.coalesce("label", "id").alias("label"), F.coalesce("weight", F.lit(1)).alias("weight"))
+        # members of a class that was met already go on as its smallest id alone
+        rest = rest.groupBy("bucket", "label").agg(F.min_by(F.struct("id", "n", "j", "size", "weight"), "id").alias("r")).select("bucket", "label", "r.*")
+        after = rest.drop("size")
         if level == 1:
+            # pairs share two sketches at least, so a large bucket may be split by a second one
             other = groups.select(F.col("rep").alias("id"), F.posexplode("sketches").alias("j2", "s"))
-            each = each.join(other, "id").filter("j2 > j").select("id", "n", F.xxhash64("bucket", "j2", "s").alias("bucket"), "j")
-        each = save(each, "rest")
+            large = rest.filter(F.col("size") > LARGE).join(other, "id").filter("j2 > j").select("id", "n", F.xxhash64("bucket", "j2", "s").alias("bucket"), "j", "label", "weight")
+            after = rest.filter(F.col("size") <= LARGE).drop("size").unionByName(large)
+        each = save(after, f"each-{level}")
+        discard(heads, members)
     if links is None:
         labels = groups.select(F.col("rep").alias("id"), F.col("rep").alias("label")).limit(0)
     else:
@@ -219,15 +248,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(back("id").alias("doc_id"), back("class").alias("class_id"), "class_size", (F.col("id") == F.col("class")).alias("kept"))
 
 
-def _kmers(src: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, kmers) of the documents that share a bucket with another."""
+def _kmers(src: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, v): the labelled k-mers of the wanted ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, off in tokens.text_slices(batch.column("text")):
                 h, _, first = tokens.words(data, off)
                 kmers, begin = tokens.shingles(h, first, K)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), tokens.lists(labelled(kmers, begin).view(np.int64), begin, pa.int64())], names=["id", "kmers"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), tokens.lists(labelled(kmers, begin).view(np.int64), begin, pa.int64())], names=["id", "v"])
 
-    wanted = members.select("id").distinct()
-    return save(src.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "id bigint, kmers array<bigint>"), "kmers")
+    rows = src.join(wanted, "id", "left_semi").mapInArrow(run, "id bigint, v array<bigint>")
+    return save(rows.dropDuplicates(["id"]), "kmers")
