@@ -1,8 +1,9 @@
 """Quality classifier: naive Bayes support vectors (NB-SVM).
 
 Features are the distinct words, punctuation runs and their bigrams of a document, hashed to
-2**BITS buckets. Every labelled training row counts toward the class log-count ratios, summed
-on the executors. A linear hinge-loss model over the ratio-scaled indicators is fitted by dual
+2**BITS buckets. The class log-count ratios are counted on the executors over at most
+COUNT_PER_CLASS labelled rows of each class, whole texts, chosen by a hash of the id, so that the
+labels can be broadcast and no text is shuffled. A linear hinge-loss model over the ratio-scaled indicators is fitted by dual
 coordinate descent on at most PER_CLASS rows of each class with texts of at most TRAIN_CHARS
 characters; a quarter of that sample is kept apart to turn margins into probabilities.
 
@@ -23,7 +24,7 @@ from weftline.llm import tokens
 from weftline.llm.common import prepare
 from weftline.llm.labelled import bounded_sample
 
-PER_CLASS, TRAIN_CHARS = 3000, 20_000
+COUNT_PER_CLASS, PER_CLASS, TRAIN_CHARS = 20_000, 3000, 20_000
 BITS = 18
 ALPHA, C, EPOCHS = 1.0, 0.1, 12
 THRESHOLD = 0.3
@@ -96,7 +97,7 @@ def calibrate(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
     return max(a, 1e-3), b
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, train_chars: int = TRAIN_CHARS) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_per_class: int = COUNT_PER_CLASS, per_class: int = PER_CLASS, train_chars: int = TRAIN_CHARS) -> QualityModel:
     """Fit on labels (doc_id, y)."""
     prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -120,8 +121,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 each = [f[begin[i] : begin[i + 1]].astype(np.int32).tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("y").slice(lo, hi - lo), pa.array(each, pa.binary())], names=["doc_id", "y", "f"])
 
-    counts = src.join(labels, "doc_id").select("text", "y").mapInArrow(count, "f int, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # 2**BITS rows at most
-    sample, sizes = bounded_sample(labels, per_class)
+    counted, sizes = bounded_sample(labels, count_per_class)
+    counts = src.join(F.broadcast(counted), "doc_id").select("text", "y").mapInArrow(count, "f int, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # 2**BITS rows at most
+    sample, _ = bounded_sample(labels, per_class)
     if min(sizes.get(0, 0), sizes.get(1, 0)) == 0:
         mean = 0.5 if not sizes else float(sizes.get(1, 0) > 0)
         return QualityModel(np.zeros(1 << BITS), 0.0, 1.0, float(np.log((mean + 1e-6) / (1 - mean + 1e-6))))
