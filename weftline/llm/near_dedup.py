@@ -8,15 +8,16 @@ order. Two documents are linked if the best order-keeping alignment of their k-m
 LCS / (n + m - LCS) >= threshold. That needs every matched pair to lie within a band of
 (n + m) (1 - threshold) / (1 + threshold) positions, which bounds the alignment without loss.
 
-Documents that share a sketch form a bucket; a bucket is never expanded into all pairs: its
-members are compared with one representative, then with HEADS others in each pass (in a large
-bucket after it was split by a second sketch); a representative leaves once it was compared with
-all, as do the members that it matched, and of the rest one member stands for each class that
-is known so far, until none are left. Pairs that share fewer than LEAST_SHARED of all sketches are not
-aligned: a pair at similarity 0.8 shares each sketch with probability 0.51 (0.8 to the third),
-so at least two of SKETCHES with probability 1 - 1.3e-5; that, and links
-between members of a bucket that matched different representatives, is all that can be missed;
-a pair meets in ten buckets on average.
+Documents that share a sketch form a bucket; a bucket is never expanded into all pairs. First its
+members are compared with HEADS of them (the same ones in all buckets of a group of copies), and
+linked ones become classes. Then the members outside a bucket's largest class are compared with
+all others of other classes, in chunks of at most CHUNK members a side: sketches alone decide
+which pairs are worth aligning, and such pairs are gathered by blocks of at most BLOCK documents,
+so that the k-mers of a document are sent once for each pair of blocks, not for each pair of
+documents. In a pair of blocks one product of k-mer incidences refutes most pairs; the rest is
+aligned unless linked already. Pairs that share fewer than LEAST_SHARED of all sketches are not
+aligned: a pair at similarity 0.8 shares each sketch with probability 0.51 (0.8 to the third), so
+at least two of SKETCHES with probability 1 - 1.3e-5; that is all that can be missed.
 
 Cases: null text counts as empty; a null id sorts below all others; rows that repeat an id get
 the same class if their texts are the same; other columns are ignored.
@@ -36,10 +37,12 @@ from weftline.llm import tokens
 from weftline.llm.common import HOT_SHARE, attach, discard, prepare, save
 
 K, K_MIN, SKETCHES, THRESHOLD = 5, 3, 20, 0.8
-#: Sketches that a pair must share to be aligned, and the size from which a bucket's rest is refined.
-LEAST_SHARED, LARGE = 2, 64
-#: Representatives of a bucket in one later pass.
-HEADS = 6
+#: Sketches that a pair must share to be aligned.
+LEAST_SHARED = 2
+#: Members of a bucket that all others are compared with first.
+HEADS = 2
+#: Members of one chunk of a bucket, documents of one block, columns of one product.
+CHUNK, BLOCK, COLUMNS = 1024, 256, 4096
 NO_ID = -(2**63)
 SKETCH = "id bigint, a bigint, b bigint, n int, sketches array<bigint>"
 _SEEDS = tokens.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -195,50 +198,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = rows.count()
     groups = save(rows.groupBy("a", "b").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("sketches").alias("sketches")), "groups")
 
-    each = groups.select(F.col("rep").alias("id"), "n", F.posexplode("sketches").alias("j", "s")).select("id", "n", F.xxhash64("j", "s").alias("bucket"), "j", F.col("id").alias("label"), F.lit(1).cast("long").alias("weight"))
-    links = None
-    level = 0
-    while True:
-        level += 1
-        # the first representative is the same in all buckets of a group; later ones are several, from small classes first
-        order = F.struct("id") if level == 1 else F.struct("weight", F.xxhash64("bucket", "id"))
-        part = F.lit(0) if level == 1 else F.pmod(F.xxhash64("id", F.lit(level)), F.lit(HEADS))
-        picked = [F.min_by(F.when(part == c, F.struct("id", "n", "label")), F.when(part == c, order)) for c in range(1 if level == 1 else HEADS)]
-        # a bucket whose members are of one class already has no more to tell
-        open_ = (F.count("*") > 1) & (F.min("label") != F.max("label"))
-        heads = each.groupBy("bucket").agg(F.array_compact(F.array(*picked)).alias("heads"), F.count("*").alias("size"), open_.alias("open")).filter("open").drop("open")
-        heads = save(heads, "heads")
-        size = heads.agg(F.sum("size")).first()[0]
-        if not size:
-            discard(heads)
-            break
-        members = save(attach(each, heads, ["bucket"], "size", size, F.xxhash64("id")).filter(F.col("heads").isNotNull()), "members")
-        is_head = F.array_contains("heads.id", F.col("id"))
-        tried = members.select("bucket", "id", "n", "label", F.explode("heads").alias("h"), is_head.alias("is_head")).filter(F.when(F.col("is_head"), F.col("h.id") < F.col("id")).otherwise(True))
-        fits = F.least("n", "h.n") >= threshold * F.greatest("n", "h.n")  # else the threshold is out of reach
-        pairs = tried.filter(fits & (F.col("h.label") != F.col("label"))).select(F.col("h.id").alias("rep"), "id").distinct()
-        found = verify(pairs, groups, src, threshold)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        weights = labels.groupBy("label").agg(F.count("*").alias("weight"))
-        labels = save(attach(labels, weights, ["label"], "weight", total, F.xxhash64("id")), "labelled")
-        done = tried.join(found, (F.col("h.id") == found["rep"]) & (tried["id"] == found["id"]), "left_semi").select("bucket", "id").distinct()
-        rest = members.filter(~is_head).join(done, ["bucket", "id"], "left_anti").select("id", "n", "bucket", "j", "size").join(labels, "id", "left")
-        rest = rest.select("id", "n", "bucket", "j", "size", F.coalesce("label", "id").alias("label"), F.coalesce("weight", F.lit(1)).alias("weight"))
-        # members of a class that was met already go on as its smallest id alone
-        rest = rest.groupBy("bucket", "label").agg(F.min_by(F.struct("id", "n", "j", "size", "weight"), "id").alias("r")).select("bucket", "label", "r.*")
-        after = rest.drop("size")
-        if level == 1:
-            # pairs share two sketches at least, so a large bucket may be split by a second one
-            other = groups.select(F.col("rep").alias("id"), F.posexplode("sketches").alias("j2", "s"))
-            large = rest.filter(F.col("size") > LARGE).join(other, "id").filter("j2 > j").select("id", "n", F.xxhash64("bucket", "j2", "s").alias("bucket"), "j", "label", "weight")
-            after = rest.filter(F.col("size") <= LARGE).drop("size").unionByName(large)
-        each = save(after, f"each-{level}")
-        discard(heads, members)
-    if links is None:
-        labels = groups.select(F.col("rep").alias("id"), F.col("rep").alias("label")).limit(0)
-    else:
-        labels = components(links)
+    each = groups.select(F.col("rep").alias("id"), "n", F.posexplode("sketches").alias("j", "s")).select("id", "n", "j", F.xxhash64("j", "s").alias("bucket"))
+    star, each = _stars(each, groups, src, threshold)
+    labels = components(star)
+    weights = labels.groupBy("label").agg(F.count("*").alias("weight"))
+    labels = save(attach(labels, weights, ["label"], "weight", total, F.xxhash64("id")), "labelled")
+    links = star.unionByName(_others(each, labels, groups, src, threshold))
+    labels = components(links)
     classes = groups.select("a", "b", "rep", "copies").join(labels, F.col("rep") == F.col("id"), "left").select("a", "b", "copies", F.coalesce("label", "rep").alias("class"))
     classes = save(classes, "classes")
     sizes = classes.groupBy("class").agg(F.sum("copies").alias("class_size"))
@@ -248,6 +214,134 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(back("id").alias("doc_id"), back("class").alias("class_id"), "class_size", (F.col("id") == F.col("class")).alias("kept"))
 
 
+def _stars(each: DataFrame, groups: DataFrame, src: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Links (rep, id) between the members (id, n, j, bucket) of buckets and the buckets' heads, and the members but the heads."""
+    # the same order in every bucket, so that buckets of one group of copies choose the same heads
+    picked = [F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(k)) if k else F.col("id")) for k in range(HEADS)]
+    heads = save(each.groupBy("bucket").agg(F.array_distinct(F.array(*picked)).alias("heads"), F.count("*").alias("size")).filter("size > 1"), "heads")
+    rows = heads.agg(F.sum("size")).first()[0] or 0
+    members = save(attach(each, heads, ["bucket"], "size", rows, F.xxhash64("id")).filter(F.col("heads").isNotNull()), "members")
+    tried = members.select("id", "n", F.explode("heads").alias("h")).filter(F.col("h.id") != F.col("id"))
+    fits = F.least("n", "h.n") >= threshold * F.greatest("n", "h.n")  # else the threshold is out of reach
+    pairs = tried.filter(fits).select(F.least("h.id", "id").alias("rep"), F.greatest("h.id", "id").alias("id")).distinct()
+    found = verify(pairs, groups, src, threshold)
+    return found, members.filter((F.col("size") > HEADS + 1) & ~F.array_contains("heads.id", F.col("id"))).select("id", "n", "j", "bucket")
+
+
+def _others(each: DataFrame, labels: DataFrame, groups: DataFrame, src: DataFrame, threshold: float) -> DataFrame:
+    """Links (rep, id) between members of buckets that labels (id, label, weight) hold in different classes."""
+    rows = each.join(labels, "id", "left").select("id", "n", "j", "bucket", F.coalesce("label", "id").alias("label"), F.coalesce("weight", F.lit(1)).alias("weight"))
+    open_ = F.min("label") != F.max("label")
+    major = save(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.max_by("label", F.struct("weight", "label")).alias("major"), open_.alias("open")).filter("open").drop("open"), "major")
+    total = major.agg(F.sum("size")).first()[0] or 0
+    rows = save(attach(rows, major, ["bucket"], "size", total, F.xxhash64("id")).filter("major is not null").select("id", "n", "j", "bucket", "label", "size", (F.col("label") == F.col("major")).alias("is_major")), "open")
+    parts = rows.groupBy("bucket").agg(F.count("*").alias("size2"), F.ceil(F.count_if(~F.col("is_major")) / CHUNK).cast("int").alias("c1"), F.ceil(F.count_if("is_major") / CHUNK).cast("int").alias("c2"))
+
+    # a document's block: a share of the largest bucket that it is in
+    home = rows.groupBy("id").agg(F.max_by(F.struct("bucket", "size"), F.struct("size", "bucket")).alias("home"))
+    block = F.xxhash64("home.bucket", F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("home.size") / BLOCK)))
+    homes = save(home.select("id", block.alias("block")), "homes")
+    info = homes.join(groups.select(F.col("rep").alias("id"), "sketches"), "id")
+
+    # chunks of the members outside the largest class (0 to c1) meet each other and all of its chunks (c1 to c1 + c2)
+    rows = attach(rows, parts, ["bucket"], "size2", total, F.xxhash64("id"))
+    chunk = F.when(F.col("is_major"), F.col("c1") + F.pmod(F.xxhash64("id"), F.col("c2"))).otherwise(F.pmod(F.xxhash64("id"), F.col("c1"))).cast("int")
+    rows = rows.withColumn("chunk", chunk)
+    meets = F.when(F.col("is_major"), F.sequence(F.lit(0), F.col("c1") - 1)).otherwise(F.sequence(F.lit(0), F.col("c1") + F.col("c2") - 1))
+    grid = rows.withColumn("other", F.explode(meets)).join(info, "id")
+    grid = grid.select("bucket", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "chunk", "id", "n", "j", "label", "block", "sketches")
+
+    def candidates(table: pa.Table) -> pa.Table:
+        ids, n, label, block, chunk = (table.column(c).to_numpy() for c in ("id", "n", "label", "block", "chunk"))
+        sketches = table.column("sketches").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        j = int(table.column("j")[0].as_py())
+        p, q = int(table.column("p")[0].as_py()), int(table.column("q")[0].as_py())
+        left, right = np.flatnonzero(chunk == p), np.flatnonzero(chunk == q)
+        out: list[np.ndarray] = []
+        step = max(1, (1 << 20) // max(1, len(right)))
+        for lo in range(0, len(left), step):
+            x = left[lo : lo + step]
+            ok = label[x][:, None] != label[right][None, :]
+            if p == q:
+                ok &= ids[x][:, None] < ids[right][None, :]
+            ok &= np.minimum(n[x][:, None], n[right][None, :]) >= threshold * np.maximum(n[x][:, None], n[right][None, :])
+            u, v = np.nonzero(ok)
+            u, v = x[u], right[v]
+            for at in range(0, len(u), 1 << 16):
+                a, b = u[at : at + (1 << 16)], v[at : at + (1 << 16)]
+                same = sketches[a] == sketches[b]
+                # a pair is taken in the bucket of its first shared sketch
+                take = (same.sum(axis=1) >= LEAST_SHARED) & (same.argmax(axis=1) == j)
+                out.append(np.stack([a[take], b[take]]))
+        u, v = np.concatenate([np.zeros((2, 0), np.int64), *out], axis=1)
+        first, second = np.minimum(block[u], block[v]), np.maximum(block[u], block[v])
+        by = np.lexsort((second, first))
+        u, v, first, second = u[by], v[by], first[by], second[by]
+        new = np.ones(len(u), bool)
+        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        cut = np.append(np.flatnonzero(new), len(u))
+        return pa.table({"first": first[cut[:-1]], "second": second[cut[:-1]], "xs": tokens.lists(ids[u], cut, pa.int64()), "ys": tokens.lists(ids[v], cut, pa.int64())})
+
+    kind = "first bigint, second bigint, xs array<bigint>, ys array<bigint>"
+    pairs = save(grid.groupBy("bucket", "p", "q").applyInArrow(candidates, kind), "candidates")
+    sides = pairs.select("first", "second").distinct().withColumn("block", F.explode(F.array_distinct(F.array("first", "second"))))
+    docs = sides.join(homes, "block").select(F.col("first").alias("one"), F.col("second").alias("two"), "id")
+    kmers = _kmers(src, docs.select("id").distinct())
+    sent = docs.join(kmers, "id")
+
+    def align(pairs: pa.Table, docs: pa.Table) -> pa.Table:
+        ids = docs.column("id").to_numpy()
+        column = docs.column("v").combine_chunks()
+        at, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        place = {d: k for k, d in enumerate(ids.tolist())}
+        xs, ys = (np.array([place[d] for d in pairs.column(c).combine_chunks().flatten().to_pylist()], np.int64) for c in ("xs", "ys"))
+        size = np.diff(at)
+        common = shared_kmers([flat[at[k] : at[k + 1]] for k in range(len(ids))])[xs, ys]
+        total = size[xs] + size[ys]
+        near = np.flatnonzero(common >= threshold * total / (1 + threshold) - 1e-6)
+        near = near[np.argsort(-common[near] / total[near], kind="stable")]
+        top = list(range(len(ids)))
+
+        def find(k: int) -> int:
+            while top[k] != k:
+                top[k] = top[top[k]]
+                k = top[k]
+            return k
+
+        links = []
+        for k in near.tolist():
+            x, y = int(xs[k]), int(ys[k])
+            # what is linked in this pair of blocks already has no more to tell
+            if find(x) != find(y) and similarity(flat[at[x] : at[x + 1]], flat[at[y] : at[y + 1]], threshold) >= threshold:
+                top[find(x)] = find(y)
+                links.append((x, y))
+        found = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"rep": ids[found[:, 0]], "id": ids[found[:, 1]]})
+
+    found = save(pairs.groupBy("first", "second").cogroup(sent.groupBy("one", "two")).applyInArrow(align, "rep bigint, id bigint"), "links")
+    discard(major, homes, pairs, kmers)
+    return found
+
+
+def shared_kmers(lists: list[np.ndarray]) -> np.ndarray:
+    """How many k-mers each two lists share: products of incidence matrices, some columns at a time."""
+    out = np.zeros((len(lists), len(lists)), np.float32)
+    _, column, often = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    several = often > 1  # the others are shared by no two
+    inside = several[column]
+    column, row = (np.cumsum(several) - 1)[column[inside]], row[inside]
+    by = np.argsort(column, kind="stable")
+    column, row = column[by], row[by]
+    width = int(several.sum())
+    for lo in range(0, width, COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        part = np.zeros((len(lists), min(COLUMNS, width - lo)), np.float32)
+        part[row[a:b], column[a:b] - lo] = 1
+        out += part @ part.T
+    return out
+
+
 def _kmers(src: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, v): the labelled k-mers of the wanted ids."""
 
