@@ -146,31 +146,6 @@ def paired(pairs: DataFrame, values: DataFrame, total: int) -> DataFrame:
     return left.join(values.withColumnRenamed("v", "y"), "id").join(reps, ["rep", "part"]).select("rep", "id", "x", "y")
 
 
-def verify(pairs: DataFrame, groups: DataFrame, src: DataFrame, threshold: float) -> DataFrame:
-    """The (rep, id) of pairs whose alignment reaches the threshold."""
-    tried = save(pairs, "tried")
-    sketches = groups.select(F.col("rep").alias("id"), F.col("sketches").alias("v"))
-    shared = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
-    pairs = save(paired(tried, sketches, tried.count()).filter(shared >= LEAST_SHARED).select("rep", "id"), "pairs")
-    kmers = _kmers(src, pairs.select("id").union(pairs.select("rep")).distinct())
-    joined = paired(pairs, kmers, pairs.count())
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = []
-            for c in ("x", "y"):
-                col = batch.column(c)
-                off = col.offsets.to_numpy()
-                lists.append((off - off[0], col.flatten().to_numpy(zero_copy_only=False)))
-            (xo, xs), (yo, ys) = lists
-            ok = [similarity(xs[xo[k] : xo[k + 1]], ys[yo[k] : yo[k + 1]], threshold) >= threshold for k in range(batch.num_rows)]
-            yield batch.select(["rep", "id"]).filter(pa.array(ok, pa.bool_()))
-
-    found = save(joined.mapInArrow(align, "rep bigint, id bigint"), "links")
-    discard(tried, pairs, kmers)
-    return found
-
-
 def components(links: DataFrame) -> DataFrame:
     """(id, label) of every id in links (rep, id): the smallest id of its connected component."""
     edges = save(links.select(F.col("rep").alias("u"), F.col("id").alias("v")).union(links.select("id", "rep")).distinct(), "edges")
@@ -199,11 +174,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = save(rows.groupBy("a", "b").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("sketches").alias("sketches")), "groups")
 
     each = groups.select(F.col("rep").alias("id"), "n", F.posexplode("sketches").alias("j", "s")).select("id", "n", "j", F.xxhash64("j", "s").alias("bucket"))
-    star, each = _stars(each, groups, src, threshold)
+    star, each, kmers = _stars(each, groups, src, threshold)
     labels = components(star)
     weights = labels.groupBy("label").agg(F.count("*").alias("weight"))
     labels = save(attach(labels, weights, ["label"], "weight", total, F.xxhash64("id")), "labelled")
-    links = star.unionByName(_others(each, labels, groups, src, threshold))
+    links = star.unionByName(_others(each, labels, groups, kmers, threshold))
+    discard(kmers)
     labels = components(links)
     classes = groups.select("a", "b", "rep", "copies").join(labels, F.col("rep") == F.col("id"), "left").select("a", "b", "copies", F.coalesce("label", "rep").alias("class"))
     classes = save(classes, "classes")
@@ -214,21 +190,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(back("id").alias("doc_id"), back("class").alias("class_id"), "class_size", (F.col("id") == F.col("class")).alias("kept"))
 
 
-def _stars(each: DataFrame, groups: DataFrame, src: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Links (rep, id) between the members (id, n, j, bucket) of buckets and the buckets' heads, and the members but the heads."""
+def _stars(each: DataFrame, groups: DataFrame, src: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (rep, id) between the members (id, n, j, bucket) of buckets and the buckets' heads; the members but the heads; all k-mers needed."""
     # the same order in every bucket, so that buckets of one group of copies choose the same heads
     picked = [F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(k)) if k else F.col("id")) for k in range(HEADS)]
-    heads = save(each.groupBy("bucket").agg(F.array_distinct(F.array(*picked)).alias("heads"), F.count("*").alias("size")).filter("size > 1"), "heads")
-    rows = heads.agg(F.sum("size")).first()[0] or 0
+    # most buckets have one member: sizes go first, as small rows, and only what is left is looked at closer
+    sizes = save(each.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    rows = sizes.agg(F.sum("size")).first()[0] or 0
+    each = save(attach(each, sizes, ["bucket"], "size", rows, F.xxhash64("id")).filter(F.col("size").isNotNull()).drop("size"), "shared")
+    heads = each.groupBy("bucket").agg(F.array_distinct(F.array(*picked)).alias("heads"), F.count("*").alias("size"))
     members = save(attach(each, heads, ["bucket"], "size", rows, F.xxhash64("id")).filter(F.col("heads").isNotNull()), "members")
     tried = members.select("id", "n", F.explode("heads").alias("h")).filter(F.col("h.id") != F.col("id"))
     fits = F.least("n", "h.n") >= threshold * F.greatest("n", "h.n")  # else the threshold is out of reach
     pairs = tried.filter(fits).select(F.least("h.id", "id").alias("rep"), F.greatest("h.id", "id").alias("id")).distinct()
-    found = verify(pairs, groups, src, threshold)
-    return found, members.filter((F.col("size") > HEADS + 1) & ~F.array_contains("heads.id", F.col("id"))).select("id", "n", "j", "bucket")
+    tried = save(pairs, "tried")
+    homes = _homes(members)
+    values = groups.select(F.col("rep").alias("id"), "sketches").join(homes, "id").select("id", F.struct("sketches", "block").alias("v"))
+    shared = F.aggregate(F.zip_with("x.sketches", "y.sketches", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
+    pairs = paired(tried, values, tried.count()).filter(shared >= LEAST_SHARED)
+    pairs = pairs.groupBy(F.least("x.block", "y.block").alias("first"), F.greatest("x.block", "y.block").alias("second")).agg(F.collect_list(F.struct("rep", "id")).alias("p"))
+    pairs = save(pairs.select("first", "second", F.col("p.rep").alias("xs"), F.col("p.id").alias("ys")), "pairs")
+    docs = pairs.select(F.col("first").alias("one"), F.col("second").alias("two"), F.explode(F.array_union("xs", "ys")).alias("id"))
+    rest = members.filter((F.col("size") > HEADS + 1) & ~F.array_contains("heads.id", F.col("id"))).select("id", "n", "j", "bucket")
+    # whatever is aligned later is among the rest, so texts are read and moved once
+    kmers = _kmers(src, docs.select("id").union(rest.select("id")).distinct())
+    found = _aligned(pairs, docs, kmers, threshold)
+    discard(sizes, each, tried, pairs)
+    return found, rest, kmers
+
+
+def _homes(rows: DataFrame) -> DataFrame:
+    """(id, block) of the ids of rows (id, bucket, size): a share of the largest bucket that each is in."""
+    home = rows.groupBy("id").agg(F.max_by(F.struct("bucket", "size"), F.struct("size", "bucket")).alias("home"))
+    block = F.xxhash64("home.bucket", F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("home.size") / BLOCK)))
+    return save(home.select("id", block.alias("block")), "homes")
 
 
-def _others(each: DataFrame, labels: DataFrame, groups: DataFrame, src: DataFrame, threshold: float) -> DataFrame:
+def _others(each: DataFrame, labels: DataFrame, groups: DataFrame, kmers: DataFrame, threshold: float) -> DataFrame:
     """Links (rep, id) between members of buckets that labels (id, label, weight) hold in different classes."""
     rows = each.join(labels, "id", "left").select("id", "n", "j", "bucket", F.coalesce("label", "id").alias("label"), F.coalesce("weight", F.lit(1)).alias("weight"))
     open_ = F.min("label") != F.max("label")
@@ -237,10 +235,7 @@ def _others(each: DataFrame, labels: DataFrame, groups: DataFrame, src: DataFram
     rows = save(attach(rows, major, ["bucket"], "size", total, F.xxhash64("id")).filter("major is not null").select("id", "n", "j", "bucket", "label", "size", (F.col("label") == F.col("major")).alias("is_major")), "open")
     parts = rows.groupBy("bucket").agg(F.count("*").alias("size2"), F.ceil(F.count_if(~F.col("is_major")) / CHUNK).cast("int").alias("c1"), F.ceil(F.count_if("is_major") / CHUNK).cast("int").alias("c2"))
 
-    # a document's block: a share of the largest bucket that it is in
-    home = rows.groupBy("id").agg(F.max_by(F.struct("bucket", "size"), F.struct("size", "bucket")).alias("home"))
-    block = F.xxhash64("home.bucket", F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("home.size") / BLOCK)))
-    homes = save(home.select("id", block.alias("block")), "homes")
+    homes = _homes(rows)
     info = homes.join(groups.select(F.col("rep").alias("id"), "sketches"), "id")
 
     # chunks of the members outside the largest class (0 to c1) meet each other and all of its chunks (c1 to c1 + c2)
@@ -286,8 +281,13 @@ def _others(each: DataFrame, labels: DataFrame, groups: DataFrame, src: DataFram
     pairs = save(grid.groupBy("bucket", "p", "q").applyInArrow(candidates, kind), "candidates")
     sides = pairs.select("first", "second").distinct().withColumn("block", F.explode(F.array_distinct(F.array("first", "second"))))
     docs = sides.join(homes, "block").select(F.col("first").alias("one"), F.col("second").alias("two"), "id")
-    kmers = _kmers(src, docs.select("id").distinct())
-    sent = docs.join(kmers, "id")
+    found = _aligned(pairs, docs, kmers, threshold)
+    discard(major, homes, pairs)
+    return found
+
+
+def _aligned(pairs: DataFrame, docs: DataFrame, kmers: DataFrame, threshold: float) -> DataFrame:
+    """Links (rep, id) among pairs (first, second, xs, ys) of blocks' documents (one, two, id): as many as connect what is similar."""
 
     def align(pairs: pa.Table, docs: pa.Table) -> pa.Table:
         ids = docs.column("id").to_numpy()
@@ -318,9 +318,8 @@ def _others(each: DataFrame, labels: DataFrame, groups: DataFrame, src: DataFram
         found = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"rep": ids[found[:, 0]], "id": ids[found[:, 1]]})
 
-    found = save(pairs.groupBy("first", "second").cogroup(sent.groupBy("one", "two")).applyInArrow(align, "rep bigint, id bigint"), "links")
-    discard(major, homes, pairs, kmers)
-    return found
+    sent = docs.join(kmers, "id").select("one", "two", "id", "v")
+    return save(pairs.groupBy("first", "second").cogroup(sent.groupBy("one", "two")).applyInArrow(align, "rep bigint, id bigint"), "links")
 
 
 def shared_kmers(lists: list[np.ndarray]) -> np.ndarray:
