@@ -17,7 +17,10 @@ so that the k-mers of a document are sent once for each pair of blocks, not for
 documents. In a pair of blocks one product of k-mer incidences refutes most pairs; the rest is
 aligned unless linked already. Pairs that share fewer than LEAST_SHARED of all sketches are not
 aligned: a pair at similarity 0.8 shares each sketch with probability 0.51 (0.8 to the third), so
-at least two of SKETCHES with probability 1 - 1.3e-5; that is all that can be missed.
+at least two of SKETCHES with probability 1 - 1.3e-5. In chunks, pairs whose BINS (the least hash of
+each of 256 classes of k-mers, by one byte) agree in DEVIATIONS standard deviations less than
+similarity 0.8 would have them are not aligned either: at 0.8 that befalls about one pair in a
+million. That is all that can be missed.
 
 Cases: null text counts as empty; a null id sorts below all others; rows that repeat an id get
 the same class if their texts are the same; other columns are ignored.
@@ -39,12 +42,14 @@ from weftline.llm.common import HOT_SHARE, attach, discard, prepare, save
 K, K_MIN, SKETCHES, THRESHOLD = 5, 3, 20, 0.8
 #: Sketches that a pair must share to be aligned.
 LEAST_SHARED = 2
+#: Classes of k-mers whose least hashes are compared before k-mers are sent; how far under the expected agreement refutes.
+BINS, DEVIATIONS = 256, 5.0
 #: Members of a bucket that all others are compared with first.
 HEADS = 2
 #: Members of one chunk of a bucket, documents of one block, columns of one product.
 CHUNK, BLOCK, COLUMNS = 1024, 256, 4096
 NO_ID = -(2**63)
-SKETCH = "id bigint, a bigint, b bigint, n int, sketches array<bigint>"
+SKETCH = "id bigint, a bigint, b bigint, n int, sketches array<bigint>, bins binary"
 _SEEDS = tokens.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -81,6 +86,23 @@ def sketch(kmers: np.ndarray) -> np.ndarray:
     return out
 
 
+def binned(kmers: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Of each document, BINS bytes: 0 for a class without k-mers, else 1 to 255 by its least hash."""
+    doc = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    mixed = tokens.mix(kmers ^ np.uint64(0x2545F4914F6CDD1D))
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    least = np.full((len(begin) - 1) * BINS, none)
+    np.minimum.at(least, doc * BINS + (mixed % np.uint64(BINS)).astype(np.int64), mixed // np.uint64(BINS))
+    return np.where(least == none, 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8).reshape(-1, BINS)
+
+
+def may_reach(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether the bins x and y of each pair agree as often as similarity least may leave them."""
+    some = ((x | y) > 0).sum(axis=1)
+    same = ((x == y) & (x > 0)).sum(axis=1)
+    return same >= least * some - DEVIATIONS * np.sqrt(least * (1 - least) * some)
+
+
 def sketched(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,10 +124,12 @@ def sketched(docs: DataFrame) -> DataFrame:
                 each = [sketch(kmers[begin[d] : begin[d + 1]]) for d in range(hi - lo) if begin[d + 1] > begin[d]]
                 flat = np.concatenate(each) if each else np.zeros(0, np.uint64)
                 n = np.diff(begin)
+                bins = [row.tobytes() for row in binned(kmers, begin)]
                 yield pa.RecordBatch.from_arrays([
                     batch.column("id").slice(lo, hi - lo), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)), pa.array(n.astype(np.int32)),
                     tokens.lists(flat.view(np.int64), np.concatenate([[0], np.cumsum((n > 0) * SKETCHES)]), pa.int64()),
-                ], names=["id", "a", "b", "n", "sketches"])
+                    pa.array(bins, pa.binary()),
+                ], names=["id", "a", "b", "n", "sketches", "bins"])
 
     return docs.mapInArrow(run, SKETCH)
 
@@ -171,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = save(sketched(src), "sketches")
     total = rows.count()
-    groups = save(rows.groupBy("a", "b").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("sketches").alias("sketches")), "groups")
+    groups = save(rows.groupBy("a", "b").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("sketches").alias("sketches"), F.first("bins").alias("bins")), "groups")
 
     each = groups.select(F.col("rep").alias("id"), "n", F.posexplode("sketches").alias("j", "s")).select("id", "n", "j", F.xxhash64("j", "s").alias("bucket"))
     star, each, kmers = _stars(each, groups, src, threshold)
@@ -236,7 +260,7 @@ def _others(each: DataFrame, labels: DataFrame, groups: DataFrame, kmers: DataFr
     parts = rows.groupBy("bucket").agg(F.count("*").alias("size2"), F.ceil(F.count_if(~F.col("is_major")) / CHUNK).cast("int").alias("c1"), F.ceil(F.count_if("is_major") / CHUNK).cast("int").alias("c2"))
 
     homes = _homes(rows)
-    info = homes.join(groups.select(F.col("rep").alias("id"), "sketches"), "id")
+    info = homes.join(groups.select(F.col("rep").alias("id"), "sketches", "bins"), "id")
 
     # chunks of the members outside the largest class (0 to c1) meet each other and all of its chunks (c1 to c1 + c2)
     rows = attach(rows, parts, ["bucket"], "size2", total, F.xxhash64("id"))
@@ -244,11 +268,12 @@ def _others(each: DataFrame, labels: DataFrame, groups: DataFrame, kmers: DataFr
     rows = rows.withColumn("chunk", chunk)
     meets = F.when(F.col("is_major"), F.sequence(F.lit(0), F.col("c1") - 1)).otherwise(F.sequence(F.lit(0), F.col("c1") + F.col("c2") - 1))
     grid = rows.withColumn("other", F.explode(meets)).join(info, "id")
-    grid = grid.select("bucket", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "chunk", "id", "n", "j", "label", "block", "sketches")
+    grid = grid.select("bucket", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "chunk", "id", "n", "j", "label", "block", "sketches", "bins")
 
     def candidates(table: pa.Table) -> pa.Table:
         ids, n, label, block, chunk = (table.column(c).to_numpy() for c in ("id", "n", "label", "block", "chunk"))
         sketches = table.column("sketches").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(len(ids), -1)
         j = int(table.column("j")[0].as_py())
         p, q = int(table.column("p")[0].as_py()), int(table.column("q")[0].as_py())
         left, right = np.flatnonzero(chunk == p), np.flatnonzero(chunk == q)
@@ -267,6 +292,8 @@ def _others(each: DataFrame, labels: DataFrame, groups: DataFrame, kmers: DataFr
                 same = sketches[a] == sketches[b]
                 # a pair is taken in the bucket of its first shared sketch
                 take = (same.sum(axis=1) >= LEAST_SHARED) & (same.argmax(axis=1) == j)
+                a, b = a[take], b[take]
+                take = may_reach(bins[a], bins[b], threshold)
                 out.append(np.stack([a[take], b[take]]))
         u, v = np.concatenate([np.zeros((2, 0), np.int64), *out], axis=1)
         first, second = np.minimum(block[u], block[v]), np.maximum(block[u], block[v])
@@ -278,9 +305,11 @@ def _others(each: DataFrame, labels: DataFrame, groups: DataFrame, kmers: DataFr
         return pa.table({"first": first[cut[:-1]], "second": second[cut[:-1]], "xs": tokens.lists(ids[u], cut, pa.int64()), "ys": tokens.lists(ids[v], cut, pa.int64())})
 
     kind = "first bigint, second bigint, xs array<bigint>, ys array<bigint>"
-    pairs = save(grid.groupBy("bucket", "p", "q").applyInArrow(candidates, kind), "candidates")
-    sides = pairs.select("first", "second").distinct().withColumn("block", F.explode(F.array_distinct(F.array("first", "second"))))
-    docs = sides.join(homes, "block").select(F.col("first").alias("one"), F.col("second").alias("two"), "id")
+    pairs = grid.groupBy("bucket", "p", "q").applyInArrow(candidates, kind)
+    # at most BLOCK x BLOCK pairs in a row: each pair is taken once
+    pairs = pairs.groupBy("first", "second").agg(F.collect_list(F.struct("xs", "ys")).alias("p"))
+    pairs = save(pairs.select("first", "second", F.flatten("p.xs").alias("xs"), F.flatten("p.ys").alias("ys")), "candidates")
+    docs = pairs.select(F.col("first").alias("one"), F.col("second").alias("two"), F.explode(F.array_union("xs", "ys")).alias("id"))
     found = _aligned(pairs, docs, kmers, threshold)
     discard(major, homes, pairs)
     return found
