@@ -267,7 +267,7 @@ def _others(each: DataFrame, labels: DataFrame, groups: DataFrame, kmers: DataFr
     chunk = F.when(F.col("is_major"), F.col("c1") + F.pmod(F.xxhash64("id"), F.col("c2"))).otherwise(F.pmod(F.xxhash64("id"), F.col("c1"))).cast("int")
     rows = rows.withColumn("chunk", chunk)
     meets = F.when(F.col("is_major"), F.sequence(F.lit(0), F.col("c1") - 1)).otherwise(F.sequence(F.lit(0), F.col("c1") + F.col("c2") - 1))
-    grid = rows.withColumn("other", F.explode(meets)).join(info, "id")
+    grid = rows.join(info, "id").withColumn("other", F.explode(meets))
     grid = grid.select("bucket", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "chunk", "id", "n", "j", "label", "block", "sketches", "bins")
 
     def candidates(table: pa.Table) -> pa.Table:
