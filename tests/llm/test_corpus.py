@@ -261,3 +261,16 @@ def test_main_text_on_generated_pages():
         right += len({*got} & {*kept})
         wanted, given = wanted + len({*kept}), given + len({*got})
     assert right / wanted > 0.95 and right / given > 0.95
+
+
+def test_bins_refute_only_what_is_far():
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 60, 400, 5000):
+        base = rng.integers(1, 2**63, n).astype(np.uint64)
+        near, far = base.copy(), base.copy()
+        near[: n // 10] = rng.integers(1, 2**63, n // 10).astype(np.uint64)  # Jaccard 0.82
+        far[n // 3 :] = rng.integers(1, 2**63, n - n // 3).astype(np.uint64)  # Jaccard 0.2
+        bins = near_dedup.binned(np.concatenate([base, near, far, base]), np.array([0, n, 2 * n, 3 * n, 4 * n, 4 * n]))
+        assert (bins[4] == 0).all() and (bins[0] == bins[3]).all()
+        assert near_dedup.may_reach(bins[[0, 0]], bins[[1, 3]], 0.8).all()
+        assert n < 60 or not near_dedup.may_reach(bins[:1], bins[2:3], 0.8).any()
