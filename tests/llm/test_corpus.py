@@ -163,6 +163,24 @@ def test_toxicity_learns_and_locates(spark):
     assert toxicity.score(frame(spark, rows[:3]), only).first().score < 0.01
 
 
+@pytest.mark.parametrize("size", [4, 500])
+def test_toxicity_of_long_texts(spark, size):
+    rng = np.random.default_rng(7)
+    text = lambda n: [" ".join(rng.choice([f"good{i}" for i in range(60)], 8)) for _ in range(n)]
+    rows = []
+    for i in range(120):
+        parts = text(size)
+        if i % 3 == 0:
+            parts[rng.integers(size)] += " vilelike" + "abc"[i % 2]
+        rows.append((i, ". ".join(parts) + "."))
+    assert all(len(t) > 20_000 for _, t in rows) == (size == 500)
+    model = toxicity.train(frame(spark, rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id bigint, y int"))
+    long = ". ".join(text(20_000))
+    got = {r.doc_id: r for r in toxicity.score(frame(spark, [(1, long), (2, long + " vilelikea"), (3, "")]), model).collect()}
+    assert got[1].score < 0.1 and got[3].score < 0.1 and got[1].sentences == []
+    assert got[2].score >= 0.3 and len(got[2].sentences) == 1 and "vilelikea" in got[2].sentences[0]
+
+
 def test_quality_learns(spark):
     rng = np.random.default_rng(6)
     vocabulary = [f"t{i}" for i in range(80)]
