@@ -292,3 +292,36 @@ def test_bins_refute_only_what_is_far():
         assert (bins[4] == 0).all() and (bins[0] == bins[3]).all()
         assert near_dedup.may_reach(bins[[0, 0]], bins[[1, 3]], 0.8).all()
         assert n < 60 or not near_dedup.may_reach(bins[:1], bins[2:3], 0.8).any()
+
+
+def test_buckets_of_three_are_compared_whole(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    def kmers(text):
+        _, _, data, off = next(tokens.text_slices(pa.array([text])))
+        h, _, first = tokens.words(data, off)
+        return near_dedup.labelled(*tokens.shingles(h, first, near_dedup.K))
+
+    rng = np.random.default_rng(11)
+    triples = []
+    for k in range(2000):  # a and b at 0.81, h at 0.79 of both
+        h = [f"g{k}v{x}" for x in range(220)]
+        a, b = list(h), list(h)
+        for x in rng.choice(10, 3, False) * 10 + 6:
+            a[x] = b[x] = f"g{k}c{x}"
+        for x in (130, 150):
+            a[x], b[x + 40] = f"g{k}a{x}", f"g{k}b{x}"
+        texts = [" ".join(w) for w in (h, a, b)]
+        grams = [kmers(t) for t in texts]
+        of_h, of_a, of_b = (near_dedup.sketch(g) for g in grams)
+        if (of_a == of_b).sum() >= near_dedup.LEAST_SHARED and (of_h == of_a)[of_a == of_b].all():
+            near = [near_dedup.similarity(grams[x], grams[y], 0.0) for x, y in ((1, 2), (0, 1), (0, 2))]
+            assert near[0] >= 0.8 > max(near[1:])
+            triples.append(texts)
+    assert len(triples) >= 3  # a and b are together only in buckets of three
+    order = [r.x for r in spark.range(3000).orderBy("id").select(F.xxhash64("id", F.lit(1)).alias("x")).collect()]
+    starts = [i for i in range(0, 3000, 3) if order[i] == min(order[i : i + 3])]  # both picks fall on h
+    docs = [(i + j, t) for i, texts in zip(starts, triples) for j, t in enumerate(texts)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, docs)).collect()}
+    assert got == {i: i if i % 3 == 0 else i // 3 * 3 + 1 for i, _ in docs}

@@ -235,7 +235,8 @@ def _stars(each: DataFrame, groups: DataFrame, src: DataFrame, threshold: float)
     pairs = pairs.groupBy(F.least("x.block", "y.block").alias("first"), F.greatest("x.block", "y.block").alias("second")).agg(F.collect_list(F.struct("rep", "id")).alias("p"))
     pairs = save(pairs.select("first", "second", F.col("p.rep").alias("xs"), F.col("p.id").alias("ys")), "pairs")
     docs = pairs.select(F.col("first").alias("one"), F.col("second").alias("two"), F.explode(F.array_union("xs", "ys")).alias("id"))
-    rest = members.filter((F.col("size") > HEADS + 1) & ~F.array_contains("heads.id", F.col("id"))).select("id", "n", "j", "bucket")
+    # the picks may fall on one member; two members or more besides the heads have pairs to compare
+    rest = members.filter((F.col("size") > F.size("heads") + 1) & ~F.array_contains("heads.id", F.col("id"))).select("id", "n", "j", "bucket")
     # whatever is aligned later is among the rest, so texts are read and moved once
     kmers = _kmers(src, docs.select("id").union(rest.select("id")).distinct())
     found = _aligned(pairs, docs, kmers, threshold)
