@@ -94,6 +94,23 @@ def test_decontamination(spark):
     assert got == brute_contamination(docs, items)
 
 
+def test_decontamination_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    text = lambda n: " ".join(rng.choice([f"w{i}" for i in range(40)], n))
+    items = [(i, text(n)) for i, n in enumerate([30, 20, 13, 5, 25, 30])] + [(9, None), (2, text(20)), (3, text(30))]
+    dirty = [text(20) + " " + t + " " + items[i - 1][1] + " " + text(20) for i, t in items if t and i]
+    docs = [(7, t) for t in dirty] + [(None, t) for t in dirty] + [(7, text(len(words(t)))) for t in dirty] + [(None, None), (None, ""), (8, ""), (8, "")]
+    columns = ("doc_id", "n_words", "n_hit", "items", "begins", "ends", "contaminated")
+    found = []
+    for size in (dec.BLOCK_WORDS, 40, 1):
+        monkeypatch.setattr(dec, "BLOCK_WORDS", size)
+        rows = dec.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+        found.append(sorted((repr([r[c] for c in columns]) for r in rows)))
+        want = [brute_contamination([d], items)[d[0]] for d in docs]
+        assert sorted((str(r.doc_id), r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in rows) == sorted((str(d[0]), *w) for d, w in zip(docs, want))
+    assert found[0] == found[1] == found[2]
+
+
 def test_proximity(spark):
     phrases = dec.Phrases(["1"], ["alpha beta gamma"])
     index = dec.build_index(frame(spark, [(1, "gamma x alpha y beta"), (2, "alpha beta"), (3, "alpha " + "z " * 40 + "beta gamma")]), phrases.vocabulary)

@@ -5,7 +5,8 @@ terms, their counts and the positions of each term, of the words that occur in t
 A phrase (13 consecutive words of an item, or all words of a shorter one) is looked up from
 its rarest term in the whole corpus: the positions of that term, shifted by its offset in the
 phrase, are intersected with the shifted positions of the next rarest terms until none or all
-are done. The benchmark is the stated query set; it is handled in blocks of BLOCK_WORDS words.
+are done. The benchmark is the stated query set: the index is made once, over all of its words,
+and looked up in blocks of BLOCK_WORDS words. Results of blocks meet by a key of the index's rows.
 
 Words are runs of digits, ASCII letters (A-Z lower-cased) and all characters beyond ASCII.
 Cases: null or empty texts have no words; items without words have no phrases; items that
@@ -15,6 +16,7 @@ repeat an id are one item; rows that repeat a doc_id are looked up each for itse
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from weftline.llm.common import save, prepare
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
 INDEX = "doc_id bigint, n_words bigint, terms array<int>, counts array<int>, positions array<int>"
-HITS = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, begins array<int>, ends array<int>"
+HITS = "row bigint, doc_id bigint, n_words bigint, n_hit bigint, items array<string>, begins array<int>, ends array<int>"
 
 
 def item_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -38,11 +40,12 @@ def item_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Phrases:
-    """The phrases of a block of items over its vocabulary of word hashes."""
+    """The phrases of a block of items over a vocabulary of word hashes, its own by default."""
 
-    def __init__(self, ids: list[str], texts: list[str | None], window: int = WINDOW):
+    def __init__(self, ids: list[str], texts: list[str | None], window: int = WINDOW, vocabulary: np.ndarray | None = None):
         h, first = item_words(texts)
-        self.vocabulary, terms = np.unique(h, return_inverse=True)
+        self.vocabulary = np.unique(h) if vocabulary is None else vocabulary
+        terms = np.searchsorted(self.vocabulary, h)
         self.names = ids
         rows = [(i, s, min(window, first[i + 1] - first[i])) for i in range(len(ids)) if first[i + 1] > first[i] for s in range(first[i], max(first[i] + 1, first[i + 1] - window + 1))]
         self.item, start, self.length = (np.array(x, np.int64) for x in (zip(*rows) if rows else ((), (), ())))
@@ -60,7 +63,7 @@ class Phrases:
 
 
 def build_index(docs: DataFrame, vocabulary: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored index of docs over the words whose hashes vocabulary (sorted) holds."""
+    """The stored index of docs over the words whose hashes vocabulary (sorted) holds, with a key `row` of each row."""
     prepare(docs.sparkSession)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +85,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, id_col: str = "doc_id",
                 ], names=["doc_id", "n_words", "terms", "counts", "positions"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return save(src.mapInArrow(index, INDEX), "postings")
+    return save(src.mapInArrow(index, INDEX).withColumn("row", F.monotonically_increasing_id()), "postings")
 
 
 def frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
@@ -183,45 +186,69 @@ def lookup(index: DataFrame, phrases: Phrases, slop: int | None = None) -> DataF
                 items[d].add(phrases.names[i])
             cut = np.searchsorted(at, np.arange(n + 1))
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("n_words"), pa.array(total[base[1:]] - total[base[:-1]], pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                batch.column("row"), batch.column("doc_id"), batch.column("n_words"), pa.array(total[base[1:]] - total[base[:-1]], pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())),
                 tokens.lists((begins - base[at]).astype(np.int32), cut, pa.int32()), tokens.lists((ends + 1 - base[at]).astype(np.int32), cut, pa.int32()),
-            ], names=["doc_id", "n_words", "n_hit", "items", "begins", "ends"])
+            ], names=["row", "doc_id", "n_words", "n_hit", "items", "begins", "ends"])
 
     return index.mapInArrow(search, HITS)
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[Phrases]:
+def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[str], list[str | None]]]:
+    """Ids and texts of the items, at most about BLOCK_WORDS words or one item at once; one empty block if there are none."""
     ids: list[str] = []
     texts: list[str | None] = []
-    size = 0
+    size, n = 0, 0
     for item, text in benchmark.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
         ids.append("" if item is None else item)
         texts.append(text)
         size += len(text or "") // 2 + 1  # words at most
         if size >= BLOCK_WORDS:
-            yield Phrases(ids, texts, window)
-            ids, texts, size = [], [], 0
-    yield Phrases(ids, texts, window)
+            yield ids, texts
+            ids, texts, size, n = [], [], 0, n + 1
+    if ids or not n:
+        yield ids, texts
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items, ranges of hit words, contaminated (a hit, and hits of at least 1/20 of the words)."""
-    found = None
-    for phrases in blocks(benchmark, item_col, item_text, window):
-        index = build_index(docs, phrases.vocabulary, id_col, text_col)
-        phrases.order_by(frequencies(index, len(phrases.vocabulary)))
-        part = lookup(index, phrases)
-        found = part if found is None else _merge(found, part)
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-
-
-def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Results of two blocks of items as one: ranges united, hit words counted anew."""
-    both = a.unionByName(b).groupBy("doc_id", "n_words").agg(
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list(F.transform(F.arrays_zip("begins", "ends"), lambda r: F.sequence(r["begins"], r["ends"] - 1)))).alias("runs"))
-    hit = F.array_sort(F.array_distinct(F.flatten("runs")))
-    both = both.withColumn("hit", hit)
-    edge = lambda step: F.filter("hit", lambda x: ~F.array_contains("hit", x + step))
-    return both.select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), F.array_sort("items").alias("items"), edge(-1).alias("begins"), F.transform(edge(1), lambda x: x + 1).alias("ends"))
-
-
+    """One row per input row: doc_id, n_words, n_hit, items, ranges of hit words, contaminated (a hit, and hits of at least 1/20 of the words)."""
+    vocabulary, n = np.zeros(0, np.uint64), 0
+    for ids, texts in blocks(benchmark, item_col, item_text):
+        vocabulary, n = np.union1d(vocabulary, item_words(texts)[0]), n + 1
+    index = build_index(docs, vocabulary, id_col, text_col)
+    often = frequencies(index, len(vocabulary))
+    part = lambda ids, texts: lookup(index, Phrases(ids, texts, window, vocabulary).order_by(often))
+    if n == 1:
+        found = part(ids, texts)
+    else:
+        # one block's phrases in memory at a time, and only rows with hits move
+        hits = [save(part(ids, texts).filter("n_hit > 0"), "hits") for ids, texts in blocks(benchmark, item_col, item_text)]
+        found = index.select("row", "doc_id", "n_words").join(_merged(hits), "row", "left")
+        found = found.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
+        for c, kind in (("items", "array<string>"), ("begins", "array<int>"), ("ends", "array<int>")):
+            found = found.withColumn(c, F.coalesce(c, F.array().cast(kind)))
+    return found.drop("row").withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def _merged(hits: list[DataFrame]) -> DataFrame:
+    """Results of blocks of items as one per row: ranges united, hit words counted anew."""
+    both = reduce(DataFrame.unionByName, hits).groupBy("row").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("begins", "ends")))).alias("runs"))
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begins, ends = [], []
+            for runs in batch.column("runs").to_pylist():
+                b, e = [], []
+                for run in runs:
+                    if e and run["begins"] <= e[-1]:
+                        e[-1] = max(e[-1], run["ends"])
+                    else:
+                        b.append(run["begins"])
+                        e.append(run["ends"])
+                begins.append(b)
+                ends.append(e)
+            n_hit = [sum(e) - sum(b) for b, e in zip(begins, ends)]
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n_hit, pa.int64()), batch.column("items"), pa.array(begins, kind), pa.array(ends, kind)], names=["row", "n_hit", "items", "begins", "ends"])
+
+    return both.mapInArrow(unite, "row bigint, n_hit bigint, items array<string>, begins array<int>, ends array<int>")
