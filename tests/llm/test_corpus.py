@@ -118,11 +118,13 @@ def test_proximity(spark):
     assert {r.doc_id: len(r["items"]) for r in dec.lookup(index, phrases, slop=5).collect()} == {1: 1, 2: 0, 3: 0}
 
 
-def brute_classes(docs):
-    grams = {}
-    for i, t in docs:
+def brute_lcs_links(texts):
+    """The smallest index of each text's class."""
+    grams = []
+    for t in texts:
         w = words(t)
-        grams[i] = [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else []
+        grams.append([tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else [])
+
     def lcs(a, b):
         row = [0] * (len(b) + 1)
         for x in a:
@@ -130,18 +132,26 @@ def brute_classes(docs):
             for j, y in enumerate(b):
                 before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
         return row[-1]
-    up = {i: i for i, _ in docs}
+
+    up = list(range(len(texts)))
+
     def top(i):
         while up[i] != i:
             i = up[i]
         return i
-    text = dict(docs)
+
     for a, b in itertools.combinations(up, 2):
         n, m = len(grams[a]), len(grams[b])
-        common = lcs(grams[a], grams[b]) if n and m and min(n, m) >= 0.8 * max(n, m) else 0
-        if (text[a] or "") == (text[b] or "") or (common and common / (n + m - common) >= 0.8):
+        fits = n and m and min(n, m) >= 0.8 * max(n, m) and len({*grams[a]} & {*grams[b]}) >= 0.5 * max(len({*grams[a]}), len({*grams[b]}))
+        common = lcs(grams[a], grams[b]) if fits else 0
+        if texts[a] == texts[b] or (common and common / (n + m - common) >= 0.8):
             up[max(top(a), top(b))] = min(top(a), top(b))
-    return {i: top(i) for i in up}
+    return [top(i) for i in up]
+
+
+def brute_classes(docs):
+    top = brute_lcs_links([t or "" for _, t in docs])
+    return {i: docs[top[k]][0] for k, (i, _) in enumerate(docs)}
 
 
 def test_near_duplicates(spark):

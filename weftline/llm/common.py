@@ -21,10 +21,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new one on a local master (tests), else an error."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
@@ -50,6 +52,19 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(conf).delete(place, True)
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", key: str = "_row") -> DataFrame:
+    """docs with a bigint column that tells every row from all others.
+
+    That is the id itself where no id is null or repeated (a count of ids decides, texts do not
+    move). Else rows are numbered, and the numbered table is written, so that the numbers are the
+    same whenever it is read.
+    """
+    ids = docs.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count("*").alias("n"))
+    if not ids.filter("n > 1 or id is null").limit(1).count():
+        return docs.withColumn(key, F.col(id_col).cast("long"))
+    return save(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+
+
 def prepare(spark: SparkSession) -> None:
     """Before Python runs on executors: send them this package once, and bound the Arrow batches they get."""
     sc = spark.sparkContext

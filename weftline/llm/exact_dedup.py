@@ -7,8 +7,10 @@ when no two distinct chunks share it. If any do, all identifiers are made anew w
 seed. Texts are equal exactly when their ordered lists of verified identifiers are, so only
 those lists are grouped and joined; a document's text moves as chunks, once.
 
-Cases: null text counts as empty; a null doc_id sorts below all others; rows that repeat a
-doc_id and text are the same document and get the same verdict; other columns are ignored.
+Cases: null text counts as empty, and all empty texts are equal; texts of any length are cut and
+compared whole; a null doc_id sorts below all others; rows that repeat a doc_id and text are the
+same document and get the same verdict, unless row_col tells them apart: then one row stays of each
+group; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,12 +46,17 @@ def verified_seed(texts: DataFrame, text: str, first: int = 0) -> int:
         seed += 1
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, keep_id (largest id of the equal texts), group_size, kept, text_sha256, recipe."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per input row: id, keep_id (largest id of the equal texts), group_size, kept, text_sha256, recipe.
+
+    row_col names a column that tells rows apart, if there is one: ties go to its largest value, and it is returned as `row`.
+    """
+    src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
+    tie = ["row"] if row_col else []
     seed = verified_seed(src, "text")
     recipe = F.transform(chunks(F.col("text")), lambda c: identifier(c, seed))
-    rows = save(src.select("doc_id", recipe.alias("recipe"), F.sha2("text", 256).alias("text_sha256")), "recipes")
-    groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    out = attach(rows, groups, ["recipe"], "group_size", rows.count(), F.xxhash64("doc_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "recipe")
+    rows = save(src.select("doc_id", *tie, recipe.alias("recipe"), F.sha2("text", 256).alias("text_sha256")), "recipes")
+    groups = rows.groupBy("recipe").agg(F.max(F.struct("doc_id", *tie)).alias("keep"), F.count("*").alias("group_size"))
+    out = attach(rows, groups, ["recipe"], "group_size", rows.count(), F.xxhash64("doc_id", *tie))
+    out = out.withColumn("kept", F.struct("doc_id", *tie).eqNullSafe(F.col("keep")))
+    return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", "kept", "text_sha256", "recipe", *tie)

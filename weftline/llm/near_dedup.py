@@ -1,7 +1,7 @@
 """Near-duplicate classes by order MinHash over five-word k-mers, verified by banded alignment.
 
 A document is its sequence of words (see tokens). Documents with the same words form one exact
-group, represented by its smallest id; documents without words are grouped by their whole text.
+group, represented by one row; documents without words are grouped by their whole text.
 Of each representative, every sketch takes the K_MIN smallest hashes of its occurrence-labelled
 k-mers and keeps them in text order, so that equal sketches speak for equal k-mers in the same
 order. Two documents are linked if the best order-keeping alignment of their k-mers, LCS, has
@@ -13,17 +13,19 @@ members are compared with HEADS of them (the same ones in all buckets of a group
 linked ones become classes. Then the members outside a bucket's largest class are compared with
 all others of other classes, in chunks of at most CHUNK members a side: sketches alone decide
 which pairs are worth aligning, and such pairs are gathered by blocks of at most BLOCK documents,
-so that the k-mers of a document are sent once for each pair of blocks, not for each pair of
-documents. In a pair of blocks one product of k-mer incidences refutes most pairs; the rest is
-aligned unless linked already. Pairs that share fewer than LEAST_SHARED of all sketches are not
+and BLOCK_KMERS k-mers, so that the k-mers of a document are sent once for each pair of blocks,
+not for each pair of documents. In a pair of blocks products of k-mer incidences refute most
+pairs; the rest is aligned unless linked already. Pairs that share fewer than LEAST_SHARED of all sketches are not
 aligned: a pair at similarity 0.8 shares each sketch with probability 0.51 (0.8 to the third), so
 at least two of SKETCHES with probability 1 - 1.3e-5. In chunks, pairs whose BINS (the least hash of
 each of 256 classes of k-mers, by one byte) agree in DEVIATIONS standard deviations less than
 similarity 0.8 would have them are not aligned either: at 0.8 that befalls about one pair in a
 million. That is all that can be missed.
 
-Cases: null text counts as empty; a null id sorts below all others; rows that repeat an id get
-the same class if their texts are the same; other columns are ignored.
+Cases: null text counts as empty, and empty texts are one group; texts of any length are read
+whole; ties between equal texts go to the smallest id, then to any one row; a null id sorts below
+all others, and rows that repeat an id, or have none, are nodes of their own: each gets the class
+of its text; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import tokens
-from weftline.llm.common import HOT_SHARE, attach, discard, prepare, save
+from weftline.llm.common import HOT_SHARE, attach, discard, keyed, prepare, save
 
 K, K_MIN, SKETCHES, THRESHOLD = 5, 3, 20, 0.8
 #: Sketches that a pair must share to be aligned.
@@ -47,9 +49,11 @@ BINS, DEVIATIONS = 256, 5.0
 #: Members of a bucket that all others are compared with first.
 HEADS = 2
 #: Members of one chunk of a bucket, documents of one block, columns of one product.
-CHUNK, BLOCK, COLUMNS = 1024, 256, 4096
+CHUNK, BLOCK, COLUMNS = 1024, 1024, 4096
+#: k-mers of one block, about; documents of one product.
+BLOCK_KMERS, PRODUCT = 1 << 19, 256
 NO_ID = -(2**63)
-SKETCH = "id bigint, a bigint, b bigint, n int, sketches array<bigint>, bins binary"
+SKETCH = "id bigint, doc bigint, a bigint, b bigint, n int, sketches array<bigint>, bins binary"
 _SEEDS = tokens.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -126,10 +130,10 @@ def sketched(docs: DataFrame) -> DataFrame:
                 n = np.diff(begin)
                 bins = [row.tobytes() for row in binned(kmers, begin)]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("id").slice(lo, hi - lo), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)), pa.array(n.astype(np.int32)),
+                    batch.column("id").slice(lo, hi - lo), batch.column("doc").slice(lo, hi - lo), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)), pa.array(n.astype(np.int32)),
                     tokens.lists(flat.view(np.int64), np.concatenate([[0], np.cumsum((n > 0) * SKETCHES)]), pa.int64()),
                     pa.array(bins, pa.binary()),
-                ], names=["id", "a", "b", "n", "sketches", "bins"])
+                ], names=["id", "doc", "a", "b", "n", "sketches", "bins"])
 
     return docs.mapInArrow(run, SKETCH)
 
@@ -188,14 +192,21 @@ def components(links: DataFrame) -> DataFrame:
             return after.select("id", "label")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: doc_id, class_id (smallest id of its class), class_size, kept (class_id's row stays)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, row_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, class_id (smallest id of its class), class_size, kept (true for one row of a class, with that id).
+
+    row_col names a bigint column that tells rows apart, if there is one; it is returned as `row`.
+    """
     spark = docs.sparkSession
     prepare(spark)
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), *([F.col(row_col).alias("id")] if row_col else []))
+    src = src if row_col else keyed(src, "doc", "id")
+    src = src.select("id", F.coalesce("doc", F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     rows = save(sketched(src), "sketches")
     total = rows.count()
-    groups = save(rows.groupBy("a", "b").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("sketches").alias("sketches"), F.first("bins").alias("bins")), "groups")
+    first = F.min(F.struct("doc", "id"))
+    groups = rows.groupBy("a", "b").agg(first.alias("top"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("sketches").alias("sketches"), F.first("bins").alias("bins"))
+    groups = save(groups.select("a", "b", F.col("top.id").alias("rep"), F.col("top.doc").alias("doc"), "copies", "n", "sketches", "bins"), "groups")
 
     each = groups.select(F.col("rep").alias("id"), "n", F.posexplode("sketches").alias("j", "s")).select("id", "n", "j", F.xxhash64("j", "s").alias("bucket"))
     star, each, kmers = _stars(each, groups, src, threshold)
@@ -205,13 +216,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = star.unionByName(_others(each, labels, groups, kmers, threshold))
     discard(kmers)
     labels = components(links)
-    classes = groups.select("a", "b", "rep", "copies").join(labels, F.col("rep") == F.col("id"), "left").select("a", "b", "copies", F.coalesce("label", "rep").alias("class"))
+    classes = groups.select("a", "b", "rep", "doc", "copies").join(labels, F.col("rep") == F.col("id"), "left").select("a", "b", "rep", "doc", "copies", F.coalesce("label", "rep").alias("class"))
     classes = save(classes, "classes")
-    sizes = classes.groupBy("class").agg(F.sum("copies").alias("class_size"))
-    classes = attach(classes, sizes.withColumn("w", F.col("class_size")), ["class"], "w", total, F.xxhash64("a", "b")).drop("w")
-    out = attach(rows.select("id", "a", "b"), save(classes, "classes-sized"), ["a", "b"], "copies", total, F.xxhash64("id"))
+    sizes = classes.groupBy("class").agg(F.sum("copies").alias("class_size"), F.min(F.struct("doc", "rep")).alias("head"))
+    classes = attach(classes, sizes.withColumn("w", F.col("class_size")), ["class"], "w", total, F.xxhash64("a", "b")).select("a", "b", "copies", "class_size", "head")
+    sized = save(classes, "classes-sized")
+    out = attach(rows.select("id", "doc", "a", "b"), sized, ["a", "b"], "copies", total, F.xxhash64("id"))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(back("id").alias("doc_id"), back("class").alias("class_id"), "class_size", (F.col("id") == F.col("class")).alias("kept"))
+    return out.select(back("doc").alias("doc_id"), back("head.doc").alias("class_id"), "class_size", (F.col("id") == F.col("head.rep")).alias("kept"), *([F.col("id").alias("row")] if row_col else []))
 
 
 def _stars(each: DataFrame, groups: DataFrame, src: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -222,7 +234,7 @@ def _stars(each: DataFrame, groups: DataFrame, src: DataFrame, threshold: float)
     sizes = save(each.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
     rows = sizes.agg(F.sum("size")).first()[0] or 0
     each = save(attach(each, sizes, ["bucket"], "size", rows, F.xxhash64("id")).filter(F.col("size").isNotNull()).drop("size"), "shared")
-    heads = each.groupBy("bucket").agg(F.array_distinct(F.array(*picked)).alias("heads"), F.count("*").alias("size"))
+    heads = each.groupBy("bucket").agg(F.array_distinct(F.array(*picked)).alias("heads"), F.count("*").alias("size"), F.sum("n").alias("mass"))
     members = save(attach(each, heads, ["bucket"], "size", rows, F.xxhash64("id")).filter(F.col("heads").isNotNull()), "members")
     tried = members.select("id", "n", F.explode("heads").alias("h")).filter(F.col("h.id") != F.col("id"))
     fits = F.least("n", "h.n") >= threshold * F.greatest("n", "h.n")  # else the threshold is out of reach
@@ -245,9 +257,10 @@ def _stars(each: DataFrame, groups: DataFrame, src: DataFrame, threshold: float)
 
 
 def _homes(rows: DataFrame) -> DataFrame:
-    """(id, block) of the ids of rows (id, bucket, size): a share of the largest bucket that each is in."""
-    home = rows.groupBy("id").agg(F.max_by(F.struct("bucket", "size"), F.struct("size", "bucket")).alias("home"))
-    block = F.xxhash64("home.bucket", F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("home.size") / BLOCK)))
+    """(id, block) of the ids of rows (id, bucket, size, mass): a share of the largest bucket that each is in."""
+    home = rows.groupBy("id").agg(F.max_by(F.struct("bucket", "size", "mass"), F.struct("size", "bucket")).alias("home"))
+    parts = F.ceil(F.greatest(F.col("home.size") / BLOCK, F.col("home.mass") / BLOCK_KMERS))
+    block = F.xxhash64("home.bucket", F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.lit(1), parts)))
     return save(home.select("id", block.alias("block")), "homes")
 
 
@@ -255,9 +268,9 @@ def _others(each: DataFrame, labels: DataFrame, groups: DataFrame, kmers: DataFr
     """Links (rep, id) between members of buckets that labels (id, label, weight) hold in different classes."""
     rows = each.join(labels, "id", "left").select("id", "n", "j", "bucket", F.coalesce("label", "id").alias("label"), F.coalesce("weight", F.lit(1)).alias("weight"))
     open_ = F.min("label") != F.max("label")
-    major = save(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.max_by("label", F.struct("weight", "label")).alias("major"), open_.alias("open")).filter("open").drop("open"), "major")
+    major = save(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("mass"), F.max_by("label", F.struct("weight", "label")).alias("major"), open_.alias("open")).filter("open").drop("open"), "major")
     total = major.agg(F.sum("size")).first()[0] or 0
-    rows = save(attach(rows, major, ["bucket"], "size", total, F.xxhash64("id")).filter("major is not null").select("id", "n", "j", "bucket", "label", "size", (F.col("label") == F.col("major")).alias("is_major")), "open")
+    rows = save(attach(rows, major, ["bucket"], "size", total, F.xxhash64("id")).filter("major is not null").select("id", "n", "j", "bucket", "label", "size", "mass", (F.col("label") == F.col("major")).alias("is_major")), "open")
     parts = rows.groupBy("bucket").agg(F.count("*").alias("size2"), F.ceil(F.count_if(~F.col("is_major")) / CHUNK).cast("int").alias("c1"), F.ceil(F.count_if("is_major") / CHUNK).cast("int").alias("c2"))
 
     homes = _homes(rows)
@@ -268,8 +281,12 @@ def _others(each: DataFrame, labels: DataFrame, groups: DataFrame, kmers: DataFr
     chunk = F.when(F.col("is_major"), F.col("c1") + F.pmod(F.xxhash64("id"), F.col("c2"))).otherwise(F.pmod(F.xxhash64("id"), F.col("c1"))).cast("int")
     rows = rows.withColumn("chunk", chunk)
     meets = F.when(F.col("is_major"), F.sequence(F.lit(0), F.col("c1") - 1)).otherwise(F.sequence(F.lit(0), F.col("c1") + F.col("c2") - 1))
-    grid = rows.join(info, "id").withColumn("other", F.explode(meets))
-    grid = grid.select("bucket", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "chunk", "id", "n", "j", "label", "block", "sketches", "bins")
+    # sketches meet a document's buckets (at most SKETCHES) as one row, and are copied after that
+    places = rows.select("id", "n", "label", F.struct("bucket", "j", "chunk", meets.alias("meets")).alias("m"))
+    places = places.groupBy("id", "n", "label").agg(F.collect_list("m").alias("ms"))
+    grid = places.join(info, "id").select("id", "n", "label", "block", "sketches", "bins", F.explode("ms").alias("m"))
+    grid = grid.select("*", F.explode("m.meets").alias("other"))
+    grid = grid.select("m.bucket", F.least("m.chunk", "other").alias("p"), F.greatest("m.chunk", "other").alias("q"), "m.chunk", "id", "n", "m.j", "label", "block", "sketches", "bins")
 
     def candidates(table: pa.Table) -> pa.Table:
         ids, n, label, block, chunk = (table.column(c).to_numpy() for c in ("id", "n", "label", "block", "chunk"))
@@ -323,10 +340,15 @@ def _aligned(pairs: DataFrame, docs: DataFrame, kmers: DataFrame, threshold: flo
         ids = docs.column("id").to_numpy()
         column = docs.column("v").combine_chunks()
         at, flat = column.offsets.to_numpy(), column.values.to_numpy()
-        place = {d: k for k, d in enumerate(ids.tolist())}
-        xs, ys = (np.array([place[d] for d in pairs.column(c).combine_chunks().flatten().to_pylist()], np.int64) for c in ("xs", "ys"))
+        order = np.argsort(ids)
+        xs, ys = (order[np.searchsorted(ids, pairs.column(c).combine_chunks().flatten().to_numpy(), sorter=order)] for c in ("xs", "ys"))
         size = np.diff(at)
-        common = shared_kmers([flat[at[k] : at[k + 1]] for k in range(len(ids))])[xs, ys]
+        common = np.zeros(len(xs), np.float32)
+        square = (xs // PRODUCT) * len(ids) + ys // PRODUCT
+        by = np.argsort(square, kind="stable")
+        for part in np.split(by, np.flatnonzero(np.diff(square[by])) + 1) if len(by) else []:
+            (u, i), (v, j) = (np.unique(k[part], return_inverse=True) for k in (xs, ys))
+            common[part] = shared_kmers(*([flat[at[k] : at[k + 1]] for k in side] for side in (u, v)))[i, j]
         total = size[xs] + size[ys]
         near = np.flatnonzero(common >= threshold * total / (1 + threshold) - 1e-6)
         near = near[np.argsort(-common[near] / total[near], kind="stable")]
@@ -352,27 +374,37 @@ def _aligned(pairs: DataFrame, docs: DataFrame, kmers: DataFrame, threshold: flo
     return save(pairs.groupBy("first", "second").cogroup(sent.groupBy("one", "two")).applyInArrow(align, "rep bigint, id bigint"), "links")
 
 
-def shared_kmers(lists: list[np.ndarray]) -> np.ndarray:
-    """How many k-mers each two lists share: products of incidence matrices, some columns at a time."""
-    out = np.zeros((len(lists), len(lists)), np.float32)
-    _, column, often = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    several = often > 1  # the others are shared by no two
-    inside = several[column]
-    column, row = (np.cumsum(several) - 1)[column[inside]], row[inside]
-    by = np.argsort(column, kind="stable")
-    column, row = column[by], row[by]
-    width = int(several.sum())
+def shared_kmers(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many k-mers each of the left lists shares with each right one: products of incidence matrices, some columns at a time."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    code = np.unique(np.concatenate([*left, *right]), return_inverse=True)[1]
+    cut = sum(len(x) for x in left)
+    row = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right)]
+    column = [code[:cut], code[cut:]]
+    width = int(code.max(initial=-1)) + 1
+    both = np.ones(width, bool)
+    for c in column:
+        both &= np.bincount(c, minlength=width) > 0
+    place = np.cumsum(both) - 1
+    for k in (0, 1):
+        inside = both[column[k]]
+        column[k], row[k] = place[column[k][inside]], row[k][inside]
+        by = np.argsort(column[k], kind="stable")
+        column[k], row[k] = column[k][by], row[k][by]
+    width = int(both.sum())
     for lo in range(0, width, COLUMNS):
-        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
-        part = np.zeros((len(lists), min(COLUMNS, width - lo)), np.float32)
-        part[row[a:b], column[a:b] - lo] = 1
-        out += part @ part.T
+        parts = []
+        for side, c, r in zip((left, right), column, row):
+            a, b = np.searchsorted(c, [lo, lo + COLUMNS])
+            part = np.zeros((len(side), min(COLUMNS, width - lo)), np.float32)
+            part[r[a:b], c[a:b] - lo] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
     return out
 
 
 def _kmers(src: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, v): the labelled k-mers of the wanted ids."""
+    """(id, v): the labelled k-mers of the wanted ids, which are rows of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,4 +414,4 @@ def _kmers(src: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), tokens.lists(labelled(kmers, begin).view(np.int64), begin, pa.int64())], names=["id", "v"])
 
     rows = src.join(wanted, "id", "left_semi").mapInArrow(run, "id bigint, v array<bigint>")
-    return save(rows.dropDuplicates(["id"]), "kmers")
+    return save(rows, "kmers")
