@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
+
+Every stage takes null, empty and very long texts, null and repeated ids, columns of any other names
+(but `_row`), which all but the last return, and an empty table, which gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import toxicity as tox
-from weftline.llm.common import read, save
+from weftline.llm.common import keyed, read, save
 from weftline.llm.decontaminate import decontaminate
 from weftline.llm.exact_dedup import exact_dedup
 from weftline.llm.labelled import training_labels
@@ -19,40 +23,46 @@ from weftline.llm.piece_lattice import encode
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept; a null doc_id is an id like any other."""
-    ids = kept.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+def _kept(rows: DataFrame, columns: list[str], verdict: DataFrame) -> DataFrame:
+    """The columns of the rows whose key `_row` is in verdict (_key): one verdict a row, also where doc_ids are null or repeated."""
+    return rows.join(verdict, rows["_row"] == verdict["_key"], "left_semi").select(*columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under the threshold. The model learns from this stage's documents."""
+    """Documents whose toxicity score is under the threshold. The model learns from this stage's documents.
+
+    Null and empty texts get the base score alone and stay where that is under the threshold; rows that
+    repeat an id or text are scored each for itself.
+    """
     model = tox.train(docs, training_labels(read(spark, sf_dir, "labels"), "toxic", 4, 2))
-    return _only(docs, tox.score(docs, model).filter(F.col("score") < tox.THRESHOLD))
+    rows = keyed(docs)
+    found = tox.score(rows, model, id_col="_row").filter(F.col("score") < tox.THRESHOLD)
+    return _kept(rows, docs.columns, found.select(F.col("doc_id").alias("_key")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id; rows that repeat it stay one row."""
-    kept = _only(docs, exact_dedup(docs).filter("kept"))
-    repeated = kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id"))
-    if not repeated.limit(1).count():
-        return kept
-    again = F.col("doc_id").eqNullSafe(F.col("_id"))
-    return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+    """Of equal texts (null counts as empty), the row with the largest doc_id; of rows that repeat that id too, any one."""
+    rows = keyed(docs)
+    found = exact_dedup(rows, row_col="_row").filter("kept")
+    return _kept(rows, docs.columns, found.select(F.col("row").alias("_key")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the smallest doc_id."""
-    return _only(docs, near_duplicates(docs).filter("kept"))
+    """One row of each near-duplicate class: the one with the smallest doc_id, null below all; of rows that repeat that id, any one."""
+    rows = keyed(docs)
+    found = near_duplicates(rows, row_col="_row").filter("kept")
+    return _kept(rows, docs.columns, found.select(F.col("row").alias("_key")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
-    return _only(docs, decontaminate(docs, read(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")))
+    """Documents that are not contaminated by the benchmark; a null or empty text has no words and stays."""
+    rows = keyed(docs)
+    found = decontaminate(rows, read(spark, sf_dir, "benchmark"), id_col="_row").filter(~F.col("contaminated"))
+    return _kept(rows, docs.columns, found.select(F.col("doc_id").alias("_key")))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and its sampled piece ids, which decode to the text exactly."""
+    """doc_id and its sampled piece ids, which decode to the text exactly; a null or empty text has none. One row per row."""
     return encode(docs, PIECE_MODEL).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "text_sha256")
 
 
