@@ -252,14 +252,44 @@ def test_token_files(spark):
 
 def test_token_blocks_are_checked():
     rng = np.random.default_rng(0)
-    ids = np.concatenate([rng.integers(0, 65536, 3000), np.tile(rng.integers(0, 50, 40), 60)])
-    payload = token_files.pack(ids)
-    assert np.array_equal(token_files.unpack(payload), ids)
+    for ids in (np.concatenate([rng.integers(0, 65536, 3000), np.tile(rng.integers(0, 50, 40), 60)]), rng.integers(0, token_files.MOST_ID, 5000), np.zeros(9000, np.int64), np.array([7])):
+        payload = token_files.pack(ids)
+        assert np.array_equal(token_files.unpack(payload), ids)
+        for k in range(-(-len(ids) // token_files.BLOCK)):  # a block needs no other
+            assert np.array_equal(token_files.unpack(payload, k), ids[k * token_files.BLOCK : (k + 1) * token_files.BLOCK])
     assert len(token_files.unpack(token_files.pack(np.zeros(0, np.int64)))) == 0
-    broken = bytearray(payload)
-    broken[-300] ^= 0xFF
+    payload = token_files.pack(np.arange(9000) % 977)
+    for place in (-300, 40, 20):
+        broken = bytearray(payload)
+        broken[place] ^= 0xFF
+        with pytest.raises(ValueError):
+            token_files.unpack(bytes(broken))
     with pytest.raises(ValueError):
-        token_files.unpack(bytes(broken))
+        token_files.pack(np.array([token_files.MOST_ID]))
+
+
+def test_token_coder_beats_general_compression():
+    import pyarrow.parquet as pq
+
+    tokenizer = token_files.Tokenizer(BPE)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    ids, _ = tokenizer.encode_batch(texts)
+    counts = np.bincount(ids)
+    share = counts[counts > 0] / len(ids)
+    size = len(token_files.pack(ids)) / len(ids)
+    assert size < len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids)
+    assert size < -(share * np.log2(share)).sum() / 8
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_tokenizer_equals_the_library(name):
+    t = token_files.Tokenizer(public_tokenizers.path(name))
+    rng = np.random.default_rng(4)
+    parts = ["  ", " ", "\n", "\t", "'", "'s", "'re", "'ll", "'ve", "'d", "'x", "a", "Zb", "é", "漢", "12", "٣", "!", "...", "\xa0", "🙂", "\u200b", "\u0301", "\x85", "\x1c", "\u2028", "<|endoftext|>", "_", "\r\n", "\u3000"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(3000)] + ["", LONG * 3000, "x" * 100_000]
+    ids, begin = t.encode_batch(texts)
+    for i, text in enumerate(texts):
+        assert ids[begin[i] : begin[i + 1]].tolist() == t.library.encode(text, add_special_tokens=False).ids
 
 
 def test_piece_lattice_is_lossless_and_follows_the_weights(spark):

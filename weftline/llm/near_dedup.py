@@ -180,12 +180,12 @@ def components(links: DataFrame) -> DataFrame:
     labels = save(edges.groupBy(F.col("u").alias("id")).agg(F.least(F.col("id"), F.min("v")).alias("label")), "labels")
     while True:
         at = labels.select(F.col("id").alias("v"), F.col("label").alias("l"))
-        best = save(edges.join(at, "v").groupBy(F.col("u").alias("id")).agg(F.min("l").alias("m")), "best")
-        step = save(labels.join(best, "id").select("id", F.col("label").alias("was"), F.least("label", "m").alias("label")), "step")
+        best = edges.join(at, "v").groupBy(F.col("u").alias("id")).agg(F.min("l").alias("m"))
+        step = labels.join(best, "id").select("id", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         up = step.select(F.col("id").alias("label"), F.col("label").alias("top"))  # labels are ids of the component
         after = save(step.join(up, "label").select("id", "was", F.least("label", "top").alias("label")), "labels")
         changed = after.filter("was <> label").limit(1).count()
-        discard(labels, best, step)
+        discard(labels)
         labels = after
         if not changed:
             discard(edges)

@@ -1,31 +1,38 @@
-"""Token-id files: documents tokenized in id order, ids range-coded in checksummed blocks.
+"""Token-id files: documents tokenized in id order, ids coded by context mixing in checksummed blocks.
 
 Layout. A table in the shared folder holds one row a frame, written by Spark's committer: the
-shard (a range of doc_id), the frame's place in it, the documents of the frame with their id
-counts, and a payload. A payload is a run of blocks of BLOCK ids (the last is shorter), each
-coded and reset on its own:
-
-    "WTB1" | blocks: u32 | ids: u32 | of each block: ids u32, escapes u32, code bytes u32, crc32 of its ids u32
-    | of each block: its escapes (u16 each), its code
-
-Model. Three orders predict the next id: the last id seen after the last two ids, after the
-last id, and the most confident recent id with no context. Each prediction has a confidence
-count in a small table. Binary decisions "is it the order-k prediction?" are coded in turn by
-an adaptive arithmetic coder; their probability mixes, in the logistic domain, those of the
-three orders' own adaptive counters, with weights learned per block. An id that no order
-predicts is an escape and stored as it is. All blocks of a frame are coded in step as lanes of
-one numpy program; coding and decoding run the same model, in integers only.
+shard (a range of doc_id), the frame's place in it, the ids of the shard before it, the documents
+of the frame with their id counts, and a payload:
+
+    "WTB2" | alphabet bytes: u32 | blocks: u32 | ids: u32 | of each block: ids u32, code words u32, crc32 of its ids u32
+    | alphabet: zlib of u32 ids, counts, successors + 1 (0 for none) and grades of the successors | code words: u32, block after block
+
+Model. The frame's alphabet gives the state that every block starts from: how often each id occurs
+(order 0), and the id that most often follows it, with a grade. Each block of BLOCK ids then
+adapts on its own, so any block can be read with the alphabet alone: per lane, a table of what
+followed the last id (order 1) and one of what followed the last two (order 2), with a trust that
+grows with every confirmation. The most trusted of the three predicts the next id; whether it is
+right is one binary decision, whose probability mixes in the logistic domain three adaptive
+counters, selected by the predictor and its trust, by the last id and by the last two, with
+weights learned in the block. An id that was not predicted is coded by its order-0 share. Both go
+through one range coder (64 bits of state, 32-bit words, no carries). All blocks of a frame are
+coded in step as lanes of one numpy program; the model works in integers only.
 
 Cases: null text counts as empty, an empty document is its end id alone; null doc_ids sort
-first; rows that repeat a doc_id keep their own ids, in an order by text; other columns are
-ignored. Damaged blocks raise an error on reading.
+first; rows that repeat a doc_id keep their own ids, in an order by text; texts of any length are
+encoded whole; an empty table gives no frames and no rows; other columns are ignored, whatever
+their names. Damaged blocks raise an error on reading. Ids may be any below 2 ** 28.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,255 +43,424 @@ from weftline.llm import tokens
 from weftline.llm.common import partitions, prepare, save
 
 END_ID = 0
-BLOCK = 1024
-FRAME_IDS = 1 << 22
-MAGIC = 0x31425457
-SLOT_BITS = 10
-FRAME = "shard int, frame int, doc_ids array<bigint>, counts array<int>, n_ids bigint, payload binary"
-#: Logistic stretch of a 12-bit probability and its inverse, in eighths of 256ths: integers, the same everywhere.
+BLOCK = 4096
+LANES = 1024
+FRAME_IDS = BLOCK * LANES
+MAGIC = 0x32425457
+MOST_ID = 1 << 28
+FRAME = "shard int, frame int, before bigint, doc_ids array<bigint>, counts array<int>, n_ids bigint, payload binary"
+#: Sizes of a lane's tables, in bits: guesses by the last id and the last two; counters by the same.
+GUESS_1, GUESS_2, COUNT_1, COUNT_2 = 10, 11, 8, 9
+#: Shares of a successor that make its grade, and the first hit rates of each predictor (successor, order 1, order 2) at each grade or trust.
+GRADES = (0.05, 0.3, 0.6, 0.9)
+FIRST_RATES = (0.15, 0.45, 0.75, 0.95, 0.3, 0.5, 0.65, 0.8, 0.4, 0.6, 0.75, 0.88)
+#: Logistic stretch of a 12-bit probability and its inverse, in 256ths: integers, the same everywhere.
 _P = np.arange(4096)
-STRETCH = np.round(np.log((_P + 0.5) / (4095.5 - _P)) * 256).astype(np.int64)
-SQUASH = np.clip(np.round(4096 / (1 + np.exp(-(np.arange(4096) - 2048) / 256.0))), 1, 4095).astype(np.int64)
+STRETCH = np.round(np.log((_P + 0.5) / (4095.5 - _P)) * 256).astype(np.int32)
+SQUASH = np.clip(np.round(4096 / (1 + np.exp(-(np.arange(4096) - 2048) / 256.0))), 1, 4095).astype(np.int32)
+_WORD, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
+
+
+class Alphabet:
+    """What the blocks of a frame start from. Symbols are places among the frame's sorted ids."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, successor: np.ndarray, grade: np.ndarray):
+        self.ids, self.counts, self.successor, self.grade = ids, counts, successor, grade
+        d = len(ids)
+        self.bits = max(16, int(d).bit_length() + 3)
+        whole = 1 << self.bits
+        share = np.maximum(1, counts.astype(np.int64) * (whole - d) // max(1, int(counts.sum())))
+        if d:
+            share[np.argmax(share)] += whole - int(share.sum())  # never below 1: floors and d ones are at most the whole
+        self.share, self.start = share.astype(np.uint64), (np.cumsum(share) - share).astype(np.uint64)
+        self.symbol = np.repeat(np.arange(d, dtype=np.int32), share)
+
+    @staticmethod
+    def of(ids: np.ndarray) -> tuple[Alphabet, np.ndarray]:
+        """The alphabet of a frame's ids, and the ids as symbols."""
+        most = int(ids.max(initial=0)) + 1
+        if most <= 1 << 22:
+            counts = np.bincount(ids, minlength=most)
+            used = np.flatnonzero(counts)
+            place = np.zeros(most, np.int32)
+            place[used] = np.arange(len(used))
+            symbols, counts = place[ids], counts[used]
+        else:
+            used, symbols, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        d = len(used)
+        successor, grade = np.full(d, -1, np.int32), np.zeros(d, np.uint8)
+        if len(symbols) > 1:
+            pair = symbols[:-1].astype(np.int64) * d + symbols[1:]
+            pair.sort()
+            at = np.flatnonzero(np.diff(pair, prepend=-1))
+            often, pair = np.diff(at, append=len(pair)), pair[at]
+            first = pair // d
+            by = np.lexsort((-often, first))
+            lead = by[np.flatnonzero(np.diff(first[by], prepend=-1))]
+            share = often[lead] / counts[first[lead]]
+            good = lead[share >= GRADES[0]]
+            successor[first[good]] = pair[good] % d
+            grade[first[good]] = np.searchsorted(GRADES, share[share >= GRADES[0]], "right") - 1
+        return Alphabet(used.astype(np.int64), counts, successor, grade), symbols.astype(np.int32)
+
+    def pack(self) -> bytes:
+        return zlib.compress(b"".join(x.astype("<u4").tobytes() for x in (np.diff(self.ids, prepend=0), self.counts, self.successor + 1)) + self.grade.tobytes())
+
+    @staticmethod
+    def unpack(data: bytes) -> Alphabet:
+        raw = zlib.decompress(data)
+        d = len(raw) // 13
+        ids, counts, successor = (np.frombuffer(raw, "<u4", d, 4 * d * k).astype(np.int64) for k in range(3))
+        return Alphabet(np.cumsum(ids), counts, (successor - 1).astype(np.int32), np.frombuffer(raw, np.uint8, d, 12 * d))
 
 
 class Lanes:
-    """The model and the coder of n blocks in step."""
-
-    def __init__(self, n: int):
-        self.n = n
-        self.lane = np.arange(n)
-        self.slots = 1 << SLOT_BITS
-        self.guess = np.zeros((2, n * self.slots), np.uint16)
-        self.trust = np.zeros((2, n * self.slots), np.uint8)
-        self.recent = np.zeros(n, np.int64)  # the order-0 prediction and its confidence
-        self.recent_trust = np.zeros(n, np.int64)
-        self.last = np.zeros(n, np.int64)
-        self.last2 = np.zeros(n, np.int64)
-        self.counter = np.full((3, n * 64), 2048, np.int64)
-        self.weight = np.full((3, n, 3), 22000, np.int64)
+    """The adaptive model and the range of n blocks in step."""
+
+    def __init__(self, n: int, alphabet: Alphabet):
+        self.a = alphabet
+        lane = np.arange(n, dtype=np.int32)
+        self.base = [lane << bits for bits in (4, COUNT_1, COUNT_2, GUESS_1, GUESS_2)]
+        self.guess = [np.zeros(n << bits, np.int32) for bits in (GUESS_1, GUESS_2)]  # symbol + 1 and two bits of trust
+        first = np.zeros(16, np.int32)
+        first[: len(FIRST_RATES)] = np.array(FIRST_RATES) * 4096
+        self.counter = [np.tile(first, n), np.full(n << COUNT_1, 2048, np.int32), np.full(n << COUNT_2, 2048, np.int32)]
+        self.weight = [np.full(n, w, np.int32) for w in (56000, 20000, 20000)]
+        self.last = np.zeros(n, np.int32)
+        self.mixed = np.zeros(n, np.int32)  # a hash of the last two symbols
         self.low = np.zeros(n, np.uint64)
-        self.high = np.full(n, 0xFFFFFFFF, np.uint64)
-
-    def predictions(self) -> None:
-        base = self.lane * self.slots
-        self.at2 = base + (((self.last2 * 40503 + self.last * 30011) >> 3) & (self.slots - 1))
-        self.at1 = base + ((self.last * 30011 >> 2) & (self.slots - 1))
-        self.ids = [self.guess[1][self.at2].astype(np.int64), self.guess[0][self.at1].astype(np.int64), self.recent]
-        self.conf = [np.minimum(self.trust[1][self.at2], 3).astype(np.int64), np.minimum(self.trust[0][self.at1], 3).astype(np.int64), np.minimum(self.recent_trust, 3)]
-
-    def probability(self, order: int) -> None:
-        """12-bit probability that the id is this order's prediction: the orders' counters, mixed."""
-        same = [(self.ids[k] == self.ids[order]).astype(np.int64) for k in range(3)]
-        self.cell = [self.lane * 64 + order * 16 + self.conf[k] * 2 + same[k] for k in range(3)]
-        self.input = np.stack([STRETCH[self.counter[k][self.cell[k]]] for k in range(3)])
-        w = self.weight[order]
-        dot = (self.input[0] * w[:, 0] + self.input[1] * w[:, 1] + self.input[2] * w[:, 2]) >> 16
+        self.range = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
+        # a successor's guess in the form of the tables', by symbol
+        self.prior = ((alphabet.successor + 1) << 2) | alphabet.grade.astype(np.int32)
+
+    def predict(self) -> None:
+        """self.symbol (-1 for none) and self.p, the 12-bit probability that it is next."""
+        last, mixed = self.last, self.mixed
+        near = (last * 40503) >> 3
+        self.at = [self.base[3] + (near & ((1 << GUESS_1) - 1)), self.base[4] + (mixed & ((1 << GUESS_2) - 1))]
+        self.seen = [self.guess[0][self.at[0]], self.guess[1][self.at[1]]]
+        trust = [self.seen[0] & 3, self.seen[1] & 3]
+        use = trust[1] > 0, trust[0] > 0
+        pick = np.where(use[0], self.seen[1], np.where(use[1], self.seen[0], self.prior[last]))
+        kind = np.where(use[0], 8, np.where(use[1], 4, 0)) + (pick & 3)
+        self.symbol = (pick >> 2) - 1
+        self.cell = [self.base[0] + kind, self.base[1] + (near & ((1 << COUNT_1) - 1)), self.base[2] + (mixed >> 3 & ((1 << COUNT_2) - 1))]
+        self.value = [c[i] for c, i in zip(self.counter, self.cell)]
+        self.stretched = [STRETCH[v] for v in self.value]
+        dot = sum((x * w) >> 8 for x, w in zip(self.stretched, self.weight)) >> 8
         self.p = SQUASH[np.clip(dot + 2048, 0, 4095)]
-
-    def learn(self, order: int, who: np.ndarray, bit: np.ndarray) -> None:
-        err = (bit << 12) - self.p[who]
-        for k in range(3):
-            c = self.cell[k][who]
-            v = self.counter[k][c]
-            self.counter[k][c] = v + np.where(bit == 1, (4095 - v) >> 4, -(v >> 4))
-            w = self.weight[order, who, k] + ((self.input[k][who] * err) >> 10)
-            self.weight[order, who, k] = np.clip(w, -65536, 131072)
-
-    def update(self, who: np.ndarray, ids: np.ndarray) -> None:
-        for table, at in ((1, self.at2[who]), (0, self.at1[who])):
-            g, t = self.guess[table], self.trust[table]
-            hit = g[at] == ids
-            t[at] = np.where(hit, np.minimum(t[at] + 1, 3), 0)
-            g[at] = ids
-        hit = self.recent[who] == ids
-        trust = np.where(hit, np.minimum(self.recent_trust[who] + 2, 6), self.recent_trust[who] - 1)
-        swap = trust < 0
-        self.recent[who] = np.where(swap, ids, self.recent[who])
-        self.recent_trust[who] = np.where(swap, 0, trust)
-        self.last2[who] = self.last[who]
-        self.last[who] = ids
-
-    def middle(self, who: np.ndarray) -> np.ndarray:
-        low, high = self.low[who], self.high[who]
-        return low + ((high - low) >> np.uint64(12)) * self.p[who].astype(np.uint64)
-
-
-def _code(blocks: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
-    """(escapes, code) of each block."""
-    n, sizes = len(blocks), np.array([len(b) for b in blocks])
-    steps = int(sizes.max(initial=0))
-    grid = np.zeros((n, steps), np.int64)
-    for i, b in enumerate(blocks):
-        grid[i, : len(b)] = b
-    m = Lanes(n)
-    lane_out, byte_out = [], []
-    escaped = np.zeros((n, steps), bool)
-    for t in range(steps):
-        live = np.flatnonzero(sizes > t)
-        ids = grid[live, t]
-        m.predictions()
-        who, want = live, ids
-        for order in range(3):
-            if order:  # a lane whose prediction was refuted already is not asked again
-                tried = np.zeros(len(who), bool)
-                for before in range(order):
-                    tried |= m.ids[before][who] == m.ids[order][who]
-                asked = ~tried
-            else:
-                asked = np.ones(len(who), bool)
-            a = who[asked]
-            m.probability(order)
-            bit = (m.ids[order][a] == want[asked]).astype(np.int64)
-            mid = m.middle(a)
-            m.high[a] = np.where(bit == 1, mid, m.high[a])
-            m.low[a] = np.where(bit == 1, m.low[a], mid + np.uint64(1))
-            m.learn(order, a, bit)
-            ready = a
-            while len(ready):
-                ready = ready[(m.low[ready] ^ m.high[ready]) < np.uint64(1 << 24)]
+        self.p[self.symbol < 0] = 0
+
+    def learn(self, symbol: np.ndarray, hit: np.ndarray) -> None:
+        target = hit.astype(np.int32) << 12
+        err = target - self.p
+        err[self.symbol < 0] = 0
+        for k, rate in ((0, 5), (1, 4), (2, 3)):
+            v = self.value[k]
+            self.counter[k][self.cell[k]] = np.minimum(v + ((target - v) >> rate), 4095)
+            self.weight[k] = np.clip(self.weight[k] + ((self.stretched[k] * err) >> 10), 0, 131072)
+        held = (symbol + 1) << 2
+        for table, at, seen in zip(self.guess, self.at, self.seen):
+            trust = seen & 3
+            same = seen - trust == held
+            # a trusted guess survives one miss; any other is replaced
+            table[at] = np.where(same, held + np.minimum(trust + 1, 3), np.where(trust > 1, seen - 2, held))
+        self.mixed = (self.last * 30011 + symbol * 12289) & 0xFFFFF
+        self.last = symbol
+
+    def shrink(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Take the part [start, start + size) of the range; the lanes that must give out a word."""
+        self.low += start
+        self.range = size
+        return np.flatnonzero(size <= _LOW)
+
+    def renew(self, at: np.ndarray) -> np.ndarray:
+        """Shift out a word of the lanes at; the word."""
+        low, size = self.low[at], self.range[at]
+        split = ((low ^ (low + size - np.uint64(1))) >> _WORD) > 0  # the part straddles a word: give up its upper end
+        size = np.where(split, (np.uint64(0) - low) & _LOW, size)
+        self.low[at] = low << _WORD
+        self.range[at] = size << _WORD
+        return (low >> _WORD).astype(np.uint32)
+
+
+def _code(blocks: np.ndarray, sizes: np.ndarray, a: Alphabet) -> list[np.ndarray]:
+    """The code words of each block (a row of symbols; rows of one size but for the last)."""
+    n = len(blocks)
+    m = Lanes(n, a)
+    columns = np.ascontiguousarray(blocks.T)
+    lane_out, word_out = [], []
+    bits = np.uint64(a.bits)
+    with np.errstate(over="ignore"):
+        for t in range(int(sizes.max(initial=0))):
+            if t == sizes[-1] and sizes[-1] < sizes[0]:  # the last lane ends: it codes nothing more
+                columns[t:, -1] = 0
+            symbol = columns[t]
+            m.predict()
+            hit = symbol == m.symbol
+            part = (m.range >> np.uint64(12)) * m.p.astype(np.uint64)
+            each = (m.range - part) >> bits
+            start = np.where(hit, np.uint64(0), part + each * a.start[symbol])
+            ready = m.shrink(start, np.where(hit, part, each * a.share[symbol]))
+            if len(ready):
                 lane_out.append(ready)
-                byte_out.append((m.high[ready] >> np.uint64(24)).astype(np.uint8))
-                m.low[ready] = (m.low[ready] << np.uint64(8)) & np.uint64(0xFFFFFFFF)
-                m.high[ready] = ((m.high[ready] << np.uint64(8)) & np.uint64(0xFFFFFFFF)) | np.uint64(255)
-            rest = np.ones(len(who), bool)
-            rest[np.flatnonzero(asked)[bit == 1]] = False
-            who, want = who[rest], want[rest]
-        escaped[who, t] = True
-        m.update(live, ids)
-    lanes = np.concatenate([*lane_out, np.zeros(0, np.int64)]).astype(np.int64)
-    data = np.concatenate([*byte_out, np.zeros(0, np.uint8)])
+                word_out.append(m.renew(ready))
+            m.learn(symbol, hit)
+    lanes = np.concatenate([*lane_out, np.zeros(0, np.int64)])
+    words = np.concatenate([*word_out, np.zeros(0, np.uint32)])
     by = np.argsort(lanes, kind="stable")
-    data, cut = data[by], np.searchsorted(lanes[by], np.arange(n + 1))
-    tail = [int(x).to_bytes(4, "big") for x in m.low]
-    return [(grid[i][escaped[i]].astype("<u2").tobytes(), data[cut[i] : cut[i + 1]].tobytes() + tail[i]) for i in range(n)]
-
-
-def _decode(sizes: np.ndarray, escapes: list[np.ndarray], codes: list[bytes]) -> list[np.ndarray]:
-    n = len(codes)
-    steps = int(sizes.max(initial=0))
-    grid = np.zeros((n, steps), np.int64)
-    m = Lanes(n)
-    at = np.cumsum([0] + [len(c) + 8 for c in codes])[:-1]
-    data = np.frombuffer(b"".join(c + bytes(8) for c in codes), np.uint8)
-    x = sum(data[at + k].astype(np.uint64) << np.uint64(24 - 8 * k) for k in range(4)) if n else np.zeros(0, np.uint64)
-    at = at + 4
-    e_at = np.cumsum([0] + [len(e) for e in escapes])[:-1]
-    e_data = np.concatenate([*escapes, np.zeros(1, np.uint16)]).astype(np.int64)
-    for t in range(steps):
-        live = np.flatnonzero(sizes > t)
-        m.predictions()
-        who = live
-        for order in range(3):
-            asked = np.ones(len(who), bool)
-            for before in range(order):
-                asked &= m.ids[before][who] != m.ids[order][who]
-            a = who[asked]
-            m.probability(order)
-            mid = m.middle(a)
-            bit = (x[a] <= mid).astype(np.int64)
-            m.high[a] = np.where(bit == 1, mid, m.high[a])
-            m.low[a] = np.where(bit == 1, m.low[a], mid + np.uint64(1))
-            m.learn(order, a, bit)
-            ready = a
-            while len(ready):
-                ready = ready[(m.low[ready] ^ m.high[ready]) < np.uint64(1 << 24)]
-                m.low[ready] = (m.low[ready] << np.uint64(8)) & np.uint64(0xFFFFFFFF)
-                m.high[ready] = ((m.high[ready] << np.uint64(8)) & np.uint64(0xFFFFFFFF)) | np.uint64(255)
-                x[ready] = ((x[ready] << np.uint64(8)) & np.uint64(0xFFFFFFFF)) | data[at[ready]].astype(np.uint64)
+    words, cut = words[by], np.searchsorted(lanes[by], np.arange(n + 1))
+    tail = np.stack([m.low >> _WORD, m.low & _LOW], 1).astype(np.uint32)
+    return [np.concatenate([words[cut[i] : cut[i + 1]], tail[i]]) for i in range(n)]
+
+
+def _decode(sizes: np.ndarray, codes: list[np.ndarray], a: Alphabet) -> np.ndarray:
+    """The symbols of each block, one row a block."""
+    n, steps = len(codes), int(sizes.max(initial=0))
+    out = np.zeros((steps, n), np.int32)
+    m = Lanes(n, a)
+    at = np.cumsum([0] + [len(c) + 2 for c in codes])[:-1]
+    data = np.concatenate([x for c in codes for x in (c, np.zeros(2, np.uint32))]).astype(np.uint64)
+    most = len(data) - 1
+    left = (data[at] << _WORD) | data[at + 1]  # the code less low
+    at = at + 2
+    bits, top = np.uint64(a.bits), np.uint64((1 << a.bits) - 1)
+    with np.errstate(over="ignore"):
+        for t in range(steps):
+            m.predict()
+            part = (m.range >> np.uint64(12)) * m.p.astype(np.uint64)
+            hit = left < part
+            each = (m.range - part) >> bits
+            rest = left - part
+            slot = np.minimum(rest // each, top)
+            symbol = np.where(hit, m.symbol, a.symbol[np.where(hit, np.uint64(0), slot).astype(np.int64)])
+            start = np.where(hit, np.uint64(0), part + each * a.start[symbol])
+            left = left - start
+            ready = m.shrink(start, np.where(hit, part, each * a.share[symbol]))
+            if len(ready):
+                m.renew(ready)
+                left[ready] = (left[ready] << _WORD) | data[np.minimum(at[ready], most)]
                 at[ready] += 1
-            found = a[bit == 1]
-            grid[found, t] = m.ids[order][found]
-            rest = np.ones(len(who), bool)
-            rest[np.flatnonzero(asked)[bit == 1]] = False
-            who = who[rest]
-        grid[who, t] = e_data[e_at[who]]
-        e_at[who] += 1
-        m.update(live, grid[live, t])
-    return [grid[i, : sizes[i]] for i in range(n)]
+            out[t] = symbol
+            m.learn(symbol, hit)
+    return out.T
 
 
 def pack(ids: np.ndarray) -> bytes:
-    """A payload. Ids must be under 65,536."""
-    if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFF):
-        raise ValueError("ids must be 0 to 65535")
-    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-    coded = [c for i in range(0, len(blocks), 4096) for c in _code(blocks[i : i + 4096])]
-    head = np.array([[len(b), len(e) // 2, len(c), zlib.crc32(b.astype("<u4").tobytes())] for b, (e, c) in zip(blocks, coded)], "<u4").reshape(-1, 4)
-    return np.array([MAGIC, len(blocks), len(ids)], "<u4").tobytes() + head.tobytes() + b"".join(e + c for e, c in coded)
-
-
-def unpack(payload: bytes) -> np.ndarray:
-    magic, n, total = np.frombuffer(payload[:12], "<u4").tolist()
+    """A payload of ids, each 0 to MOST_ID - 1."""
+    if len(ids) and (ids.min() < 0 or ids.max() >= MOST_ID):
+        raise ValueError(f"ids must be 0 to {MOST_ID - 1}")
+    a, symbols = Alphabet.of(ids)
+    n = -(-len(ids) // BLOCK)
+    sizes = np.minimum(BLOCK, len(ids) - np.arange(n) * BLOCK)
+    grid = np.zeros(n * BLOCK, np.int32)
+    grid[: len(ids)] = symbols
+    grid = grid.reshape(n, BLOCK)
+    codes = [c for i in range(0, n, LANES) for c in _code(grid[i : i + LANES, : sizes[i]], sizes[i : i + LANES], a)]
+    flat = ids.astype("<u4")
+    head = np.array([[k, len(c), zlib.crc32(flat[i * BLOCK : i * BLOCK + k].tobytes())] for i, (k, c) in enumerate(zip(sizes.tolist(), codes))], "<u4").reshape(-1, 3)
+    alphabet = a.pack()
+    return np.array([MAGIC, len(alphabet), n, len(ids)], "<u4").tobytes() + head.tobytes() + alphabet + b"".join(c.astype("<u4").tobytes() for c in codes)
+
+
+def unpack(payload: bytes, only: int | None = None) -> np.ndarray:
+    """The ids of a payload, or of one of its blocks."""
+    magic, size, n, total = np.frombuffer(payload[:16], "<u4").tolist()
     if magic != MAGIC:
         raise ValueError("not a token payload")
-    head = np.frombuffer(payload[12 : 12 + 16 * n], "<u4").reshape(n, 4).astype(np.int64)
-    begin = 12 + 16 * n + np.concatenate([[0], np.cumsum(head[:, 1] * 2 + head[:, 2])]).astype(np.int64)
+    head = np.frombuffer(payload[16 : 16 + 12 * n], "<u4").reshape(n, 3).astype(np.int64)
+    at = 16 + 12 * n + size
+    try:
+        a = Alphabet.unpack(payload[at - size : at])
+    except zlib.error as e:
+        raise ValueError("the alphabet is damaged") from e
+    begin = at + 4 * np.concatenate([[0], np.cumsum(head[:, 1])]).astype(np.int64)
     out = []
-    for lo in range(0, n, 4096):
-        part = range(lo, min(n, lo + 4096))
-        escapes = [np.frombuffer(payload[begin[i] : begin[i] + 2 * head[i, 1]], "<u2") for i in part]
-        codes = [payload[begin[i] + 2 * head[i, 1] : begin[i + 1]] for i in part]
-        for i, ids in zip(part, _decode(head[lo : lo + 4096, 0], escapes, codes)):
-            if zlib.crc32(ids.astype("<u4").tobytes()) != head[i, 3]:
+    which = range(n) if only is None else [only]
+    for lo in range(0, len(which), LANES):
+        part = which[lo : lo + LANES]
+        codes = [np.frombuffer(payload[begin[i] : begin[i + 1]], "<u4") for i in part]
+        for i, symbols in zip(part, _decode(head[part, 0], codes, a)):
+            ids = a.ids[symbols[: head[i, 0]]]
+            if zlib.crc32(ids.astype("<u4").tobytes()) != head[i, 2]:
                 raise ValueError(f"block {i} is damaged")
             out.append(ids)
-    ids = np.concatenate([*out, np.zeros(0, np.int64)]).astype(np.int64)
-    if len(ids) != total:
+    ids = np.concatenate([*out, np.zeros(0, np.int64)])
+    if only is None and len(ids) != total:
         raise ValueError("ids are missing")
     return ids
 
 
+def _classes() -> np.ndarray:
+    """Of every code point: 0 letter, 1 number, 2 space, 3 other, 4 not known to be the same in all Unicode versions."""
+    out = np.full(sys.maxunicode + 1, 4, np.uint8)
+    old = unicodedata.ucd_3_2_0
+    kinds = {"L": 0, "N": 1, "Z": 2, "M": 3, "P": 3, "S": 3, "C": 3}
+    for i in range(len(out)):
+        kind = unicodedata.category(chr(i))
+        if kind == old.category(chr(i)) and kind not in ("Cn", "Cs", "Zl", "Zp"):
+            out[i] = kinds[kind[0]]
+    out[9:14] = 2
+    out[0x1C:0x20], out[0x85] = 4, 4
+    return out
+
+
 class Tokenizer:
-    """The tokenizers library, with a store of pre-tokens that it has encoded before."""
+    """The tokenizers library, with a store of pre-tokens that it has encoded before.
 
-    KEEP = 400_000
+    Files whose pre-tokenizer is the usual byte-level one cut texts by a fixed rule, and pieces are
+    encoded independently: then pieces are found for many texts at once, and only new ones go to
+    the library. Texts that hold special tokens or characters that Unicode versions class
+    differently, and all texts of other files, go to the library whole.
+    """
+
+    KEEP, SHIFT = 1_000_000, 43
+    SLOTS = 1 << (64 - SHIFT)
+    _CLASS: np.ndarray | None = None
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        #: byte-level BPE cuts texts so before it merges; pieces are encoded independently
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        #: beyond these, Unicode tables of different versions might differ: such texts go to the library whole
-        self.plain = regex.compile(r"[\x00-ɏ‐-‧€]*").fullmatch
+        made = json.loads(self.library.to_str())
+        cut = made.get("pre_tokenizer") or {}
+        self.cuts = made.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and made["model"].get("type") == "BPE" and not made["model"].get("dropout")
+        if self.cuts and Tokenizer._CLASS is None:
+            Tokenizer._CLASS = _classes()
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids, self.begin, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _add(self, pieces: list[str]) -> None:
-        for e, piece in zip(self.library.encode_batch_fast(pieces, add_special_tokens=False), pieces):
-            k, got = len(self.index), e.ids
-            if k == len(self.begin):
-                self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-            while self.used + len(got) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(got)] = got
-            self.begin[k], self.size[k] = self.used, len(got)
-            self.used += len(got)
-            self.index[piece] = k
-
-    def encode(self, text: str) -> np.ndarray:
-        if not self.plain(text) or any(s in text for s in self.specials):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
-        pieces = self.cut(text)
-        get = self.index.get
-        found = [get(p, -1) for p in pieces]
-        if -1 in found:
-            if len(self.index) > self.KEEP:
+        self.key, self.at = np.zeros(self.SLOTS, np.uint64), np.full(self.SLOTS, -1, np.int32)
+        self.n = 0
+        self.ids, self.chars = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint32)
+        self.ids_from, self.chars_from = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    @staticmethod
+    def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+        """array, grown if need be, with the values at a place."""
+        if at + len(values) > len(array):
+            array = np.concatenate([array, np.zeros(max(len(array), at + len(values) - len(array)), array.dtype)])
+        array[at : at + len(values)] = values
+        return array
+
+    def _add(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        each = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        n = self.n
+        for what, start, values, sizes in (("ids", "ids_from", np.array(list(chain.from_iterable(each)), np.int32), map(len, each)), ("chars", "chars_from", np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32), map(len, pieces))):
+            begin = getattr(self, start)
+            at = int(begin[n])
+            setattr(self, what, self._put(getattr(self, what), at, values))
+            setattr(self, start, self._put(begin, n + 1, at + np.cumsum(np.fromiter(sizes, np.int64, len(pieces)))))
+        slot, todo = (hashes >> np.uint64(self.SHIFT)).astype(np.int64), np.arange(len(hashes))
+        while len(todo):
+            free = todo[self.at[slot[todo]] < 0]
+            self.at[slot[free]] = n + free  # of several for one slot, the last has it
+            won = free[self.at[slot[free]] == n + free]
+            self.key[slot[won]] = hashes[won]
+            todo = todo[self.at[slot[todo]] != n + todo]
+            slot[todo] = (slot[todo] + 1) % self.SLOTS
+        self.n += len(pieces)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash in the store, or -1."""
+        slot = (h >> np.uint64(self.SHIFT)).astype(np.int64)
+        found = self.at[slot]
+        wrong = np.flatnonzero((found >= 0) & (self.key[slot] != h))
+        while len(wrong):
+            slot[wrong] = (slot[wrong] + 1) % self.SLOTS
+            found[wrong] = self.at[slot[wrong]]
+            wrong = wrong[(found[wrong] >= 0) & (self.key[slot[wrong]] != h[wrong])]
+        return found
+
+    def _starts(self, cp: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Where the pieces of the texts that begin at `first` begin."""
+        n = len(cp)
+        text = np.zeros(n + 1, bool)
+        text[first] = True
+        text[n] = True
+        run = text.copy()
+        run[1:n] |= kind[1:] != kind[:-1]
+        start = run.copy()
+        # the last of a run of spaces leaves the run if something follows, and a plain one joins that
+        last = np.flatnonzero((kind == 2) & run[1:] & ~text[1:])
+        start[last] = True
+        start[last[cp[last] == 0x20] + 1] = False
+        # an apostrophe that is a run of its own takes s, t, m, d, re, ve, ll with it
+        mark = np.flatnonzero((cp == 0x27) & start[:n] & run[1:] & ~text[1:])
+        if len(mark):
+            one = cp[mark + 1]
+            two = np.where(text[mark + 2], 0, cp[np.minimum(mark + 2, n - 1)])
+            for at, size in ((mark[np.isin(one, [0x73, 0x74, 0x6D, 0x64])], 1), (mark[((one == 0x72) | (one == 0x76)) & (two == 0x65) | (one == 0x6C) & (two == 0x6C)], 2)):
+                start[at + 1] = False
+                start[at + size + 1] = True
+        return np.flatnonzero(start[:n])
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin (with an end)."""
+        slow = np.ones(len(texts), bool)
+        if self.cuts:
+            whole = "".join(texts)
+            size = np.array([len(t) for t in texts], np.int64)
+            cp = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+            kind = self._CLASS[cp]
+            slow = np.zeros(len(texts), bool)
+            unknown = np.flatnonzero(kind == 4)
+            if len(unknown):
+                slow[np.searchsorted(np.cumsum(size), unknown, "right")] = True
+            if any(s in whole for s in self.specials):
+                slow |= [any(s in t for s in self.specials) for t in texts]
+        if slow.any():
+            each: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+            fast = np.flatnonzero(~slow)
+            if len(fast):
+                ids, begin = self.encode_batch([texts[i] for i in fast])
+                for k, i in enumerate(fast.tolist()):
+                    each[i] = ids[begin[k] : begin[k + 1]]
+            for i in np.flatnonzero(slow).tolist():
+                each[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.int32)
+            return np.concatenate(each), np.cumsum([0] + [len(x) for x in each])
+        if not len(cp):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        first = np.cumsum(size) - size
+        start = self._starts(cp, kind, first[size > 0])
+        length = np.diff(start, append=len(cp))
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.full(int(length.max()), 0x9E3779B97F4A7C15, np.uint64))
+            within = np.arange(len(cp)) - np.repeat(start, length)
+            h = tokens.mix(np.add.reduceat((cp + np.uint64(1)) * power[within], start))
+        which = self._find(h)
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            some, at = np.unique(h[new], return_index=True)
+            if self.n + len(some) > self.KEEP:
                 self.clear()
-                get = self.index.get
-            self._add(list(dict.fromkeys(p for p in pieces if p not in self.index)))
-            found = [get(p) for p in pieces]
-        which = np.array(found, np.int64)
-        size = self.size[which]
-        end = np.cumsum(size)
-        return self.ids[np.repeat(self.begin[which] - (end - size), size) + np.arange(end[-1] if len(end) else 0)].astype(np.int64)
+                some, at = np.unique(h, return_index=True)
+                new = np.arange(len(h))
+            at = new[at]
+            self._add(some, [whole[a : a + b] for a, b in zip(start[at].tolist(), length[at].tolist())])
+            which = self._find(h)
+        # the store's pieces are the texts' pieces, not just of one hash
+        held = self.chars_from[which]
+        same = np.array_equal(self.chars_from[which + 1] - held, length) and np.array_equal(self.chars[np.repeat(held, length) + within], cp)
+        if not same:
+            ids = [np.array(e.ids, np.int32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
+            return np.concatenate(ids), np.cumsum([0] + [len(x) for x in ids])
+        count = self.ids_from[which + 1] - self.ids_from[which]
+        end = np.cumsum(count)
+        ids = self.ids[np.repeat(self.ids_from[which] - (end - count), count) + np.arange(end[-1])]
+        return ids, np.concatenate([[0], end])[np.searchsorted(start, np.append(first, len(cp)))]
+
+
+_TOKENIZERS: dict[str, Tokenizer] = {}
+
+
+def tokenizer_of(path: str) -> Tokenizer:
+    """The worker's copy, which keeps what it has learnt from one task to the next."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = Tokenizer(path)
+    return _TOKENIZERS[path]
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -295,25 +471,30 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokenizer = Tokenizer(tokenizer_path)
-        shard, frame = TaskContext.get().partitionId(), 0
+        tokenizer = tokenizer_of(tokenizer_path)
+        shard, frame, before = TaskContext.get().partitionId(), 0, 0
         docs_in: list[int | None] = []
+        counts_in: list[np.ndarray] = []
         ids_in: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            counts = [len(x) for x in ids_in]
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([frame], pa.int32()), pa.array([docs_in], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([sum(counts)], pa.int64()), pa.array([pack(np.concatenate(ids_in))], pa.binary())], names=["shard", "frame", "doc_ids", "counts", "n_ids", "payload"])
+            counts = np.concatenate(counts_in).astype(np.int32)
+            values = [shard, frame, before, docs_in, counts, held, pack(np.concatenate(ids_in))]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary()]
+            names = ["shard", "frame", "before", "doc_ids", "counts", "n_ids", "payload"]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.append(tokenizer.encode(text.as_py()), end_id)
-                docs_in.append(doc)
-                ids_in.append(ids)
-                held += len(ids)
+            for lo, hi, _, _ in tokens.text_slices(batch.column("text")):
+                ids, begin = tokenizer.encode_batch(batch.column("text").slice(lo, hi - lo).to_pylist())
+                docs_in += batch.column("doc_id").slice(lo, hi - lo).to_pylist()
+                counts_in.append(np.diff(begin) + 1)
+                ids_in.append(np.insert(ids, begin[1:], end_id))
+                held += len(ids_in[-1])
                 if held >= FRAME_IDS:
                     yield flush()
-                    docs_in, ids_in, held, frame = [], [], 0, frame + 1
+                    docs_in, counts_in, ids_in, before, held, frame = [], [], [], before + held, 0, frame + 1
         if docs_in:
             yield flush()
 
@@ -330,27 +511,22 @@ def read_tokens(frames: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 ids = unpack(batch.column("payload")[i].as_py())
-                counts = np.array(batch.column("counts")[i].as_py(), np.int64)
+                counts = batch.column("counts")[i].values.to_numpy().astype(np.int64)
                 begin = np.concatenate([[0], np.cumsum(counts)])
                 doc_ids = batch.column("doc_ids")[i].values
+                raw = memoryview(ids.astype("<u4").tobytes())
                 for lo in range(0, len(counts), 256):
                     hi = min(len(counts), lo + 256)
                     cut = begin[lo : hi + 1]
-                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(cut[:-1], cut[1:])]
+                    crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(cut[:-1], cut[1:])]
                     yield pa.RecordBatch.from_arrays([doc_ids.slice(lo, hi - lo), pa.array(batch.column("start")[i].as_py() + cut[:-1]), pa.array(counts[lo:hi]), pa.array(crc, pa.int64()), tokens.lists(ids[cut[0] : cut[-1]].astype(np.int32), cut - cut[0], pa.int32())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     # one row a shard, as many as partitions: sums of the shards before each
     sums = sorted((r[0], r[1]) for r in frames.groupBy("shard").agg(F.sum("n_ids")).collect())
-    spark = frames.sparkSession
     at, rows = 0, []
     for shard, n in sums:
         rows.append((shard, at))
         at += n
-    starts = spark.createDataFrame(rows, "shard int, before long")
-    from pyspark.sql import Window as W
-
-    within = F.sum("n_ids").over(W.partitionBy("shard").orderBy("frame").rowsBetween(W.unboundedPreceding, -1))
-    places = frames.select("shard", "frame", "n_ids").withColumn("within", F.coalesce(within, F.lit(0)))
-    places = places.join(F.broadcast(starts), "shard").select("shard", "frame", (F.col("before") + F.col("within")).alias("start"))
-    src = frames.select("shard", "frame", "doc_ids", "counts", "payload").join(places, ["shard", "frame"]).drop("shard", "frame")
+    starts = frames.sparkSession.createDataFrame(rows, "shard int, earlier long")
+    src = frames.join(F.broadcast(starts), "shard").select((F.col("earlier") + F.col("before")).alias("start"), "doc_ids", "counts", "payload")
     return src.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
