@@ -268,6 +268,14 @@ def test_token_blocks_are_checked():
         token_files.pack(np.array([token_files.MOST_ID]))
 
 
+@pytest.mark.parametrize("rate", [1e-12, 1e-4, 1 - 1e-4])
+def test_token_blocks_with_guesses_of_extreme_probability(monkeypatch, rate):
+    monkeypatch.setattr(token_files, "FIRST_RATES", {k: rate for k in token_files.FIRST_RATES})
+    rng = np.random.default_rng(1)
+    for ids in (np.tile(rng.integers(0, 9, 50), 300), rng.integers(0, 3, 20_000), rng.integers(0, 200_000, 300_000)):
+        assert np.array_equal(token_files.unpack(token_files.pack(ids)), ids)
+
+
 def test_token_coder_beats_general_compression():
     import pyarrow.parquet as pq
 

@@ -30,7 +30,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_tokens(write_tokens(read(spark, sf_dir, "documents"), TOKENIZER)).drop("ids")
+    return read_tokens(write_tokens(read(spark, sf_dir, "documents"), TOKENIZER), with_ids=False)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

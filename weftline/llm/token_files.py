@@ -5,23 +5,23 @@ shard (a range of doc_id), the frame's place in it, the ids of the shard before
 of the frame with their id counts, and a payload:
 
     "WTB2" | alphabet bytes: u32 | blocks: u32 | ids: u32 | of each block: ids u32, code words u32, crc32 of its ids u32
-    | alphabet: zlib of u32 ids, counts, successors + 1 (0 for none) and grades of the successors | code words: u32, block after block
+    | alphabet: zlib of u32 ids, counts, successors (symbols, 0 for none) and their grades | code words: u32, block after block
 
 Model. The frame's alphabet gives the state that every block starts from: how often each id occurs
-(order 0), and the id that most often follows it, with a grade. Each block of BLOCK ids then
-adapts on its own, so any block can be read with the alphabet alone: per lane, a table of what
-followed the last id (order 1) and one of what followed the last two (order 2), with a trust that
-grows with every confirmation. The most trusted of the three predicts the next id; whether it is
-right is one binary decision, whose probability mixes in the logistic domain three adaptive
-counters, selected by the predictor and its trust, by the last id and by the last two, with
-weights learned in the block. An id that was not predicted is coded by its order-0 share. Both go
-through one range coder (64 bits of state, 32-bit words, no carries). All blocks of a frame are
-coded in step as lanes of one numpy program; the model works in integers only.
+(order 0), and the id that most often follows it, with a grade (order 1). Each block of BLOCK ids
+then adapts on its own, so any block can be read with the alphabet alone. A table per block holds
+what followed the last two ids (order 2), with a trust that grows with every confirmation. The
+order-2 guess if it is trusted, else the order-1 guess, predicts the next id; whether it is right
+is one binary decision, whose probability mixes three orders in the logistic domain: terms by the
+guess's grade or trust, by the last id and by the last two, each learned in the block. An id that
+was not predicted is coded by its order-0 share. Both go through one range coder (64 bits of state,
+32-bit words, no carries). All blocks of a frame are coded in step as lanes of one numpy program;
+the model works in integers only.
 
 Cases: null text counts as empty, an empty document is its end id alone; null doc_ids sort
 first; rows that repeat a doc_id keep their own ids, in an order by text; texts of any length are
 encoded whole; an empty table gives no frames and no rows; other columns are ignored, whatever
-their names. Damaged blocks raise an error on reading. Ids may be any below 2 ** 28.
+their names. Damaged blocks raise an error on reading. Ids may be any below 2 ** 26.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ import sys
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,37 +42,44 @@ from weftline.llm import tokens
 from weftline.llm.common import partitions, prepare, save
 
 END_ID = 0
-BLOCK = 4096
-LANES = 1024
+BLOCK = 2048
+LANES = 4096
 FRAME_IDS = BLOCK * LANES
 MAGIC = 0x32425457
-MOST_ID = 1 << 28
+MOST_ID = 1 << 26
 FRAME = "shard int, frame int, before bigint, doc_ids array<bigint>, counts array<int>, n_ids bigint, payload binary"
-#: Sizes of a lane's tables, in bits: guesses by the last id and the last two; counters by the same.
-GUESS_1, GUESS_2, COUNT_1, COUNT_2 = 10, 11, 8, 9
-#: Shares of a successor that make its grade, and the first hit rates of each predictor (successor, order 1, order 2) at each grade or trust.
+#: Sizes of a lane's tables, in bits: terms by the last id, terms and guesses by the last two.
+LAST_1, LAST_2 = 8, 11
+#: Learning rates of the terms by kind of guess, last id, last two ids: shifts of the error.
+RATES = (4, 2, 1)
+#: Shares of a successor that make its grade (kinds 1 to 4), and the first hit rates of kinds: none, the grades, and order 2 at trust 0 to 3 (kinds 8 to 11).
 GRADES = (0.05, 0.3, 0.6, 0.9)
-FIRST_RATES = (0.15, 0.45, 0.75, 0.95, 0.3, 0.5, 0.65, 0.8, 0.4, 0.6, 0.75, 0.88)
-#: Logistic stretch of a 12-bit probability and its inverse, in 256ths: integers, the same everywhere.
-_P = np.arange(4096)
-STRETCH = np.round(np.log((_P + 0.5) / (4095.5 - _P)) * 256).astype(np.int32)
-SQUASH = np.clip(np.round(4096 / (1 + np.exp(-(np.arange(4096) - 2048) / 256.0))), 1, 4095).astype(np.int32)
+FIRST_RATES = {1: 0.15, 2: 0.45, 3: 0.75, 4: 0.95, 9: 0.6, 10: 0.75, 11: 0.88}
+#: Places of the sum of terms: 4096 a unit of log-odds, even odds in the middle; its 12-bit probability, 0 if there is no guess. Integers, the same everywhere.
+FINE, EVEN = 4, 2048
+SQUASH = np.clip(np.round(4096 / (1 + np.exp(-(np.arange(4096) - EVEN) / 256.0))), 1, 4095).astype(np.int32)
+SQUASH[0] = 0
 _WORD, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
 class Alphabet:
-    """What the blocks of a frame start from. Symbols are places among the frame's sorted ids."""
+    """What the blocks of a frame start from. Symbols are places among the frame's sorted ids, from 1."""
 
     def __init__(self, ids: np.ndarray, counts: np.ndarray, successor: np.ndarray, grade: np.ndarray):
         self.ids, self.counts, self.successor, self.grade = ids, counts, successor, grade
         d = len(ids)
-        self.bits = max(16, int(d).bit_length() + 3)
+        self.bits = max(16, min(d.bit_length() + 3, max(20, d.bit_length())))
+        #: what is left of a range for ids that were not guessed must hold all shares
+        self.squash = np.minimum(SQUASH, 4096 - (1 << max(0, self.bits - 20)))
         whole = 1 << self.bits
         share = np.maximum(1, counts.astype(np.int64) * (whole - d) // max(1, int(counts.sum())))
         if d:
             share[np.argmax(share)] += whole - int(share.sum())  # never below 1: floors and d ones are at most the whole
-        self.share, self.start = share.astype(np.uint64), (np.cumsum(share) - share).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(d, dtype=np.int32), share)
+        self.share, self.start = (np.concatenate([[0], x]).astype(np.uint64) for x in (share, np.cumsum(share) - share))
+        self.symbol = np.repeat(np.arange(1, d + 1, dtype=np.int32), share)
+        #: by symbol: a hash, and the guess that follows it, as the lanes' tables hold guesses
+        self.hash = tokens.mix(np.arange(d + 1, dtype=np.uint64)).view(np.int64) & ((1 << 40) - 1)
+        self.guess = np.concatenate([[0], np.where(successor > 0, successor.astype(np.int64) << 4 | grade, 0)]).astype(np.int32)
 
     @staticmethod
     def of(ids: np.ndarray) -> tuple[Alphabet, np.ndarray]:
@@ -88,30 +94,30 @@ class Alphabet:
         else:
             used, symbols, counts = np.unique(ids, return_inverse=True, return_counts=True)
         d = len(used)
-        successor, grade = np.full(d, -1, np.int32), np.zeros(d, np.uint8)
+        successor, grade = np.zeros(d, np.int32), np.zeros(d, np.uint8)
         if len(symbols) > 1:
             pair = symbols[:-1].astype(np.int64) * d + symbols[1:]
             pair.sort()
             at = np.flatnonzero(np.diff(pair, prepend=-1))
             often, pair = np.diff(at, append=len(pair)), pair[at]
-            first = pair // d
-            by = np.lexsort((-often, first))
-            lead = by[np.flatnonzero(np.diff(first[by], prepend=-1))]
-            share = often[lead] / counts[first[lead]]
-            good = lead[share >= GRADES[0]]
-            successor[first[good]] = pair[good] % d
-            grade[first[good]] = np.searchsorted(GRADES, share[share >= GRADES[0]], "right") - 1
-        return Alphabet(used.astype(np.int64), counts, successor, grade), symbols.astype(np.int32)
+            first, second = np.divmod(pair, d)
+            lead = np.flatnonzero(np.diff(first, prepend=-1))
+            best = np.maximum.reduceat(often * d + second, lead)
+            first, share = first[lead], best // d / counts[first[lead]]
+            good = share >= GRADES[0]
+            successor[first[good]] = best[good] % d + 1
+            grade[first[good]] = np.searchsorted(GRADES, share[good], "right")
+        return Alphabet(used.astype(np.int64), counts, successor, grade), symbols.astype(np.int32) + 1
 
     def pack(self) -> bytes:
-        return zlib.compress(b"".join(x.astype("<u4").tobytes() for x in (np.diff(self.ids, prepend=0), self.counts, self.successor + 1)) + self.grade.tobytes())
+        return zlib.compress(b"".join(x.astype("<u4").tobytes() for x in (np.diff(self.ids, prepend=0), self.counts, self.successor)) + self.grade.tobytes())
 
     @staticmethod
     def unpack(data: bytes) -> Alphabet:
         raw = zlib.decompress(data)
         d = len(raw) // 13
         ids, counts, successor = (np.frombuffer(raw, "<u4", d, 4 * d * k).astype(np.int64) for k in range(3))
-        return Alphabet(np.cumsum(ids), counts, (successor - 1).astype(np.int32), np.frombuffer(raw, np.uint8, d, 12 * d))
+        return Alphabet(np.cumsum(ids), counts, successor.astype(np.int32), np.frombuffer(raw, np.uint8, d, 12 * d))
 
 
 class Lanes:
@@ -119,63 +125,46 @@ class Lanes:
 
     def __init__(self, n: int, alphabet: Alphabet):
         self.a = alphabet
-        lane = np.arange(n, dtype=np.int32)
-        self.base = [lane << bits for bits in (4, COUNT_1, COUNT_2, GUESS_1, GUESS_2)]
-        self.guess = [np.zeros(n << bits, np.int32) for bits in (GUESS_1, GUESS_2)]  # symbol + 1 and two bits of trust
-        first = np.zeros(16, np.int32)
-        first[: len(FIRST_RATES)] = np.array(FIRST_RATES) * 4096
-        self.counter = [np.tile(first, n), np.full(n << COUNT_1, 2048, np.int32), np.full(n << COUNT_2, 2048, np.int32)]
-        self.weight = [np.full(n, w, np.int32) for w in (56000, 20000, 20000)]
-        self.last = np.zeros(n, np.int32)
-        self.mixed = np.zeros(n, np.int32)  # a hash of the last two symbols
+        lane = np.arange(n)
+        self.by_kind, self.by_1, self.by_2 = (lane << bits for bits in (4, LAST_1, LAST_2))
+        self.guess = np.zeros(n << LAST_2, np.int32)  # symbol << 4 | 8 | trust
+        first = np.full(16, -(1 << 24), np.int32)
+        for kind, rate in FIRST_RATES.items():
+            first[kind] = round((EVEN + 256 * np.log(rate / (1 - rate))) * (1 << FINE))
+        self.terms = [np.tile(first, n), np.zeros(n << LAST_1, np.int32), np.zeros(n << LAST_2, np.int32)]
+        self.last = np.zeros(n, np.int64)
+        self.hash, self.hash_2 = np.zeros(n, np.int64), np.zeros(n, np.int64)  # of the last symbol, and of the one before, shifted
         self.low = np.zeros(n, np.uint64)
         self.range = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        # a successor's guess in the form of the tables', by symbol
-        self.prior = ((alphabet.successor + 1) << 2) | alphabet.grade.astype(np.int32)
-
-    def predict(self) -> None:
-        """self.symbol (-1 for none) and self.p, the 12-bit probability that it is next."""
-        last, mixed = self.last, self.mixed
-        near = (last * 40503) >> 3
-        self.at = [self.base[3] + (near & ((1 << GUESS_1) - 1)), self.base[4] + (mixed & ((1 << GUESS_2) - 1))]
-        self.seen = [self.guess[0][self.at[0]], self.guess[1][self.at[1]]]
-        trust = [self.seen[0] & 3, self.seen[1] & 3]
-        use = trust[1] > 0, trust[0] > 0
-        pick = np.where(use[0], self.seen[1], np.where(use[1], self.seen[0], self.prior[last]))
-        kind = np.where(use[0], 8, np.where(use[1], 4, 0)) + (pick & 3)
-        self.symbol = (pick >> 2) - 1
-        self.cell = [self.base[0] + kind, self.base[1] + (near & ((1 << COUNT_1) - 1)), self.base[2] + (mixed >> 3 & ((1 << COUNT_2) - 1))]
-        self.value = [c[i] for c, i in zip(self.counter, self.cell)]
-        self.stretched = [STRETCH[v] for v in self.value]
-        dot = sum((x * w) >> 8 for x, w in zip(self.stretched, self.weight)) >> 8
-        self.p = SQUASH[np.clip(dot + 2048, 0, 4095)]
-        self.p[self.symbol < 0] = 0
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol that is guessed to be next (0 for none), and the part of the range that stands for it."""
+        at = ((self.hash + self.hash_2) & ((1 << LAST_2) - 1)) + self.by_2
+        self.seen = self.guess.take(at, mode="clip")
+        pick = np.where((self.seen & 3) > 0, self.seen, self.a.guess.take(self.last, mode="clip"))
+        self.cells = self.by_kind + (pick & 15), self.by_1 + (self.hash & ((1 << LAST_1) - 1)), at
+        self.values = [t.take(c, mode="clip") for t, c in zip(self.terms, self.cells)]
+        total = self.values[0] + self.values[1]
+        total += self.values[2]
+        total >>= FINE
+        self.p = self.a.squash.take(total, mode="clip")
+        return pick >> 4, (self.range >> np.uint64(12)) * self.p.view(np.uint32)
 
     def learn(self, symbol: np.ndarray, hit: np.ndarray) -> None:
-        target = hit.astype(np.int32) << 12
-        err = target - self.p
-        err[self.symbol < 0] = 0
-        for k, rate in ((0, 5), (1, 4), (2, 3)):
-            v = self.value[k]
-            self.counter[k][self.cell[k]] = np.minimum(v + ((target - v) >> rate), 4095)
-            self.weight[k] = np.clip(self.weight[k] + ((self.stretched[k] * err) >> 10), 0, 131072)
-        held = (symbol + 1) << 2
-        for table, at, seen in zip(self.guess, self.at, self.seen):
-            trust = seen & 3
-            same = seen - trust == held
-            # a trusted guess survives one miss; any other is replaced
-            table[at] = np.where(same, held + np.minimum(trust + 1, 3), np.where(trust > 1, seen - 2, held))
-        self.mixed = (self.last * 30011 + symbol * 12289) & 0xFFFFF
+        err = (hit.astype(np.int32) << 12) - self.p
+        for term, cell, value, rate in zip(self.terms, self.cells, self.values, RATES):
+            value += err >> rate
+            term[cell] = value
+        held = (symbol << 4) | 8
+        seen = self.seen
+        # a trusted guess survives one miss; any other is replaced
+        self.guess[self.cells[2]] = np.where((seen ^ held) < 4, np.minimum(seen + 1, held + 3), np.where((seen & 2) > 0, seen - 2, held))
         self.last = symbol
-
-    def shrink(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Take the part [start, start + size) of the range; the lanes that must give out a word."""
-        self.low += start
-        self.range = size
-        return np.flatnonzero(size <= _LOW)
+        self.hash_2 = self.hash >> 13
+        self.hash = self.a.hash.take(symbol, mode="clip")
 
     def renew(self, at: np.ndarray) -> np.ndarray:
-        """Shift out a word of the lanes at; the word."""
+        """Shift a word out of the lanes at, whose range is less than a word; the word."""
         low, size = self.low[at], self.range[at]
         split = ((low ^ (low + size - np.uint64(1))) >> _WORD) > 0  # the part straddles a word: give up its upper end
         size = np.where(split, (np.uint64(0) - low) & _LOW, size)
@@ -189,19 +178,18 @@ def _code(blocks: np.ndarray, sizes: np.ndarray, a: Alphabet) -> list[np.ndarray
     n = len(blocks)
     m = Lanes(n, a)
     columns = np.ascontiguousarray(blocks.T)
+    if len(sizes) and sizes[-1] < sizes[0]:  # the last lane ends before the others: any symbol will do after that
+        columns[sizes[-1] :, -1] = 1
     lane_out, word_out = [], []
     bits = np.uint64(a.bits)
     with np.errstate(over="ignore"):
-        for t in range(int(sizes.max(initial=0))):
-            if t == sizes[-1] and sizes[-1] < sizes[0]:  # the last lane ends: it codes nothing more
-                columns[t:, -1] = 0
-            symbol = columns[t]
-            m.predict()
-            hit = symbol == m.symbol
-            part = (m.range >> np.uint64(12)) * m.p.astype(np.uint64)
+        for symbol in columns:
+            guess, part = m.predict()
+            hit = (symbol == guess) & (m.p > 0)  # a guess of no probability is none
             each = (m.range - part) >> bits
-            start = np.where(hit, np.uint64(0), part + each * a.start[symbol])
-            ready = m.shrink(start, np.where(hit, part, each * a.share[symbol]))
+            m.low += np.where(hit, np.uint64(0), part + each * a.start.take(symbol, mode="clip"))
+            m.range = np.where(hit, part, each * a.share.take(symbol, mode="clip"))
+            ready = np.flatnonzero(m.range <= _LOW)
             if len(ready):
                 lane_out.append(ready)
                 word_out.append(m.renew(ready))
@@ -221,25 +209,24 @@ def _decode(sizes: np.ndarray, codes: list[np.ndarray], a: Alphabet) -> np.ndarr
     m = Lanes(n, a)
     at = np.cumsum([0] + [len(c) + 2 for c in codes])[:-1]
     data = np.concatenate([x for c in codes for x in (c, np.zeros(2, np.uint32))]).astype(np.uint64)
-    most = len(data) - 1
     left = (data[at] << _WORD) | data[at + 1]  # the code less low
     at = at + 2
-    bits, top = np.uint64(a.bits), np.uint64((1 << a.bits) - 1)
-    with np.errstate(over="ignore"):
+    bits = np.uint64(a.bits)
+    with np.errstate(over="ignore", divide="ignore"):
         for t in range(steps):
-            m.predict()
-            part = (m.range >> np.uint64(12)) * m.p.astype(np.uint64)
+            guess, part = m.predict()
             hit = left < part
             each = (m.range - part) >> bits
-            rest = left - part
-            slot = np.minimum(rest // each, top)
-            symbol = np.where(hit, m.symbol, a.symbol[np.where(hit, np.uint64(0), slot).astype(np.int64)])
-            start = np.where(hit, np.uint64(0), part + each * a.start[symbol])
-            left = left - start
-            ready = m.shrink(start, np.where(hit, part, each * a.share[symbol]))
+            slot = (left - part) // each  # damaged blocks may lead anywhere: places are clipped
+            symbol = np.where(hit, guess, a.symbol.take(slot.view(np.int64), mode="clip"))
+            start = np.where(hit, np.uint64(0), part + each * a.start.take(symbol, mode="clip"))
+            m.low += start
+            left -= start
+            m.range = np.where(hit, part, each * a.share.take(symbol, mode="clip"))
+            ready = np.flatnonzero(m.range <= _LOW)
             if len(ready):
                 m.renew(ready)
-                left[ready] = (left[ready] << _WORD) | data[np.minimum(at[ready], most)]
+                left[ready] = (left[ready] << _WORD) | data.take(at[ready], mode="clip")
                 at[ready] += 1
             out[t] = symbol
             m.learn(symbol, hit)
@@ -281,7 +268,7 @@ def unpack(payload: bytes, only: int | None = None) -> np.ndarray:
         part = which[lo : lo + LANES]
         codes = [np.frombuffer(payload[begin[i] : begin[i + 1]], "<u4") for i in part]
         for i, symbols in zip(part, _decode(head[part, 0], codes, a)):
-            ids = a.ids[symbols[: head[i, 0]]]
+            ids = a.ids.take(symbols[: head[i, 0]] - 1, mode="clip")
             if zlib.crc32(ids.astype("<u4").tobytes()) != head[i, 2]:
                 raise ValueError(f"block {i} is damaged")
             out.append(ids)
@@ -316,6 +303,9 @@ class Tokenizer:
 
     KEEP, SHIFT = 1_000_000, 43
     SLOTS = 1 << (64 - SHIFT)
+    #: The characters that byte-level models spell bytes with: printable ones stand for themselves, the others, in order, from 256 on.
+    BYTES = np.arange(256, dtype="<u2")
+    BYTES[[*range(0x21), *range(0x7F, 0xA1), 0xAD]] = np.arange(256, 256 + 68)
     _CLASS: np.ndarray | None = None
 
     def __init__(self, path: str):
@@ -346,13 +336,24 @@ class Tokenizer:
         return array
 
     def _add(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        each = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
         n = self.n
-        for what, start, values, sizes in (("ids", "ids_from", np.array(list(chain.from_iterable(each)), np.int32), map(len, each)), ("chars", "chars_from", np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32), map(len, pieces))):
+        chars = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
+        chars_end = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        raw = np.frombuffer("".join(pieces).encode(), np.uint8)
+        raw_end = np.cumsum(1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000))[chars_end - 1].tolist()
+        spelt = self.BYTES[raw].tobytes().decode("utf-16-le")
+        merge = self.library.model.tokenize
+        found: list[int] = []
+        ids_end = np.zeros(len(pieces), np.int64)
+        for k, (a, b) in enumerate(zip([0, *raw_end], raw_end)):
+            found += [t.id for t in merge(spelt[a:b])]
+            ids_end[k] = len(found)
+        ids = np.array(found, np.int32)
+        for what, start, values, ends in (("ids", "ids_from", ids, ids_end), ("chars", "chars_from", chars, chars_end)):
             begin = getattr(self, start)
             at = int(begin[n])
             setattr(self, what, self._put(getattr(self, what), at, values))
-            setattr(self, start, self._put(begin, n + 1, at + np.cumsum(np.fromiter(sizes, np.int64, len(pieces)))))
+            setattr(self, start, self._put(begin, n + 1, at + ends))
         slot, todo = (hashes >> np.uint64(self.SHIFT)).astype(np.int64), np.arange(len(hashes))
         while len(todo):
             free = todo[self.at[slot[todo]] < 0]
@@ -503,8 +504,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     return save(src.mapInArrow(run, FRAME), "tokens")
 
 
-def read_tokens(frames: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids of every document, decoded from the stored frames."""
+def read_tokens(frames: DataFrame, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, unless left out, ids of every document, decoded from the stored frames."""
     prepare(frames.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -519,7 +520,10 @@ def read_tokens(frames: DataFrame) -> DataFrame:
                     hi = min(len(counts), lo + 256)
                     cut = begin[lo : hi + 1]
                     crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(cut[:-1], cut[1:])]
-                    yield pa.RecordBatch.from_arrays([doc_ids.slice(lo, hi - lo), pa.array(batch.column("start")[i].as_py() + cut[:-1]), pa.array(counts[lo:hi]), pa.array(crc, pa.int64()), tokens.lists(ids[cut[0] : cut[-1]].astype(np.int32), cut - cut[0], pa.int32())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                    columns = {"doc_id": doc_ids.slice(lo, hi - lo), "start": pa.array(batch.column("start")[i].as_py() + cut[:-1]), "n_tokens": pa.array(counts[lo:hi]), "ids_crc32": pa.array(crc, pa.int64())}
+                    if with_ids:
+                        columns["ids"] = tokens.lists(ids[cut[0] : cut[-1]].astype(np.int32), cut - cut[0], pa.int32())
+                    yield pa.RecordBatch.from_pydict(columns)
 
     # one row a shard, as many as partitions: sums of the shards before each
     sums = sorted((r[0], r[1]) for r in frames.groupBy("shard").agg(F.sum("n_ids")).collect())
@@ -529,4 +533,4 @@ def read_tokens(frames: DataFrame) -> DataFrame:
         at += n
     starts = frames.sparkSession.createDataFrame(rows, "shard int, earlier long")
     src = frames.join(F.broadcast(starts), "shard").select((F.col("earlier") + F.col("before")).alias("start"), "doc_ids", "counts", "payload")
-    return src.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
+    return src.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
