@@ -367,8 +367,8 @@ class Tokenizer:
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The place of each hash in the store, or -1."""
         slot = (h >> np.uint64(self.SHIFT)).astype(np.int64)
-        found = self.at[slot]
-        wrong = np.flatnonzero((found >= 0) & (self.key[slot] != h))
+        found = self.at.take(slot, mode="clip")
+        wrong = np.flatnonzero((found >= 0) & (self.key.take(slot, mode="clip") != h))
         while len(wrong):
             slot[wrong] = (slot[wrong] + 1) % self.SLOTS
             found[wrong] = self.at[slot[wrong]]
@@ -405,7 +405,7 @@ class Tokenizer:
             whole = "".join(texts)
             size = np.array([len(t) for t in texts], np.int64)
             cp = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-            kind = self._CLASS[cp]
+            kind = self._CLASS.take(cp, mode="clip")
             slow = np.zeros(len(texts), bool)
             unknown = np.flatnonzero(kind == 4)
             if len(unknown):
@@ -430,7 +430,7 @@ class Tokenizer:
         with np.errstate(over="ignore"):
             power = np.cumprod(np.full(int(length.max()), 0x9E3779B97F4A7C15, np.uint64))
             within = np.arange(len(cp)) - np.repeat(start, length)
-            h = tokens.mix(np.add.reduceat((cp + np.uint64(1)) * power[within], start))
+            h = tokens.mix(np.add.reduceat((cp + np.uint64(1)) * power.take(within, mode="clip"), start))
         which = self._find(h)
         new = np.flatnonzero(which < 0)
         if len(new):
@@ -444,13 +444,13 @@ class Tokenizer:
             which = self._find(h)
         # the store's pieces are the texts' pieces, not just of one hash
         held = self.chars_from[which]
-        same = np.array_equal(self.chars_from[which + 1] - held, length) and np.array_equal(self.chars[np.repeat(held, length) + within], cp)
+        same = np.array_equal(self.chars_from[which + 1] - held, length) and np.array_equal(self.chars.take(np.repeat(held, length) + within, mode="clip"), cp)
         if not same:
             ids = [np.array(e.ids, np.int32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
             return np.concatenate(ids), np.cumsum([0] + [len(x) for x in ids])
         count = self.ids_from[which + 1] - self.ids_from[which]
         end = np.cumsum(count)
-        ids = self.ids[np.repeat(self.ids_from[which] - (end - count), count) + np.arange(end[-1])]
+        ids = self.ids.take(np.repeat(self.ids_from[which] - (end - count), count) + np.arange(end[-1]), mode="clip")
         return ids, np.concatenate([[0], end])[np.searchsorted(start, np.append(first, len(cp)))]
 
 
