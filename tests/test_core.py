@@ -147,3 +147,108 @@ def test_table_layers(spark):
 def test_entry_names():
     q, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert {*sql} <= {*q} and queries.FLAGSHIP in q
+
+
+def test_parallel_keeps_edges_and_json_round_trips():
+    b = g.Builder().parallel(lambda b: b.add("Square", input=3).add("Double"), lambda b: b.Double(input=1))
+    assert b.run() == [{"outputs": [{"output": 18}]}] and b.graph.run(sinks=True) == [{"outputs": [{"output": 18}, {"output": 2}]}]
+    again = g.TaskGraph.from_json(b.to_json())
+    assert again.to_json() == b.to_json() and again.run() == b.run()
+    assert g.TaskGraph.from_dependency_json(b.to_dependency_json()).run() == b.run()
+
+
+def test_events_abort_reactive_and_json_task():
+    seen = []
+    graph = g.serial([g.Task("a", SQUARE, {"input": 2}), g.Task("b", DOUBLE)], "output", "input")
+    graph.tasks["a"].on("complete", lambda out: seen.append(out))
+    graph.tasks["a"].on("complete", lambda out: graph.abort())
+    with pytest.raises(g.Aborted):
+        graph.run()
+    assert seen == [{"output": 4}] and graph.tasks["b"].status == "ABORTED"
+    assert [t.id for t in graph.source_tasks("b")] == ["a"] and [t.id for t in graph.target_tasks("a")] == ["b"]
+    quick = g.Operator("Quick", lambda input: {"output": 1}, [g.Port("input", "number", False, 0)], [g.Port("output", "number")], reactive=lambda out, input: {"output": input + 0.5})
+    graph = g.serial([g.Task("a", quick, {"input": 2}), g.Task("b", SQUARE), g.Task("c", quick)], "output", "input")
+    assert graph.run_reactive() == [{"output": None}] or graph.tasks["b"].output == {}
+    runner = g.JsonRunner()
+    text = '[{"id": "1", "type": "Square", "input": {"input": 4}}, {"id": "2", "type": "Double", "dependencies": {"input": {"id": "1", "output": "output"}}}]'
+    assert runner(text) == runner(text) == {"outputs": [{"output": 32}]} and runner.parsed == 1
+    queues = g.QueueRegistry()
+    queues.register("q", seen)
+    assert queues.get("q") is seen and queues.get("x") is None
+    with pytest.raises(g.GraphError):
+        g.Builder().add("Square").rename("output", "a", 4)
+
+
+def test_any_ports_flatten_one_level():
+    any_op = g.Operator("Any", lambda x: {"x": x}, [g.Port("x", "any", False, [1])], [g.Port("x")])
+    assert g.Task("t", any_op).run(x=[2, [3]]) == {"x": [1, 2, [3]]}
+    task = g.Task("t", op("S", lambda input: {"output": input}, array=("input",)), {"input": [1]})
+    task.merged([("input", [5])])
+    assert task.input == {"input": [1]}
+
+
+def test_stores(spark, tmp_path):
+    from weftline.sources import stores
+
+    schema = "name string, type string, option string, success boolean"
+    rows = spark.createDataFrame([("key1", "string1", "value", True), ("key2", "string1", None, False), ("key1", "string1", "older", False)], schema)
+    for store in (stores.ParquetKV(spark, str(tmp_path / "p"), schema, ["name", "type"], ["option"]), stores.SqliteKV(spark, str(tmp_path / "s.db"), "kv", ["name", "type"], ["option"])):
+        store.put(rows)
+        assert store.size() == 2 and {(r.option, r.success) for r in store.get({"name": "key1", "type": "string1"}).collect()} == {("value", True)}
+        assert store.get({"name": "x", "type": "y"}).count() == 0 and store.search({"option": "value"}).count() == 1
+        store.put(rows.limit(1).select("name", "type", F.lit("new").alias("option"), "success"))
+        assert store.get({"name": "key1", "type": "string1"}).first().option == "new"
+        store.delete({"name": "key1", "type": "string1"})
+        assert store.size() == 1 and store.get_all().first().name == "key2"
+        store.delete_all()
+        assert store.size() == 0
+    files = stores.FileKV(spark, str(tmp_path / "f"), schema, ["name", "type"])
+    assert files.size() == 0
+    files.put(rows)
+    assert files.size() == 2 and [tuple(r) for r in files.get({"name": "key1", "type": "string1"}).collect()] == [("value", True)]
+    files.delete({"name": "key1", "type": "string1"})
+    assert files.get({"name": "key1", "type": "string1"}).count() == 0 and files.get_all().columns == ["option", "success"]
+    with pytest.raises(NotImplementedError):
+        files.search({})
+    assert stores.JdbcKV(spark, "jdbc:x", "t", ["k"], ["v"]).merge_statement() == 'INSERT INTO "t" ("k", "v") SELECT "k", "v" FROM "t_staged" ON CONFLICT ("k") DO UPDATE SET "v" = excluded."v"'
+
+
+def test_simple_keys_and_repositories(spark, tmp_path):
+    from weftline.sources import stores
+
+    table = kv.KVTable(spark.createDataFrame([], "key string, value string"), ["key"]).put_one("key1", "value1")
+    assert table.get_value("key1") == "value1" and table.get_value("no") is None and table.delete("key1").size().first()[0] == 0
+    two = kv.KVTable(spark.createDataFrame([(None, 1, 2)], "a string, b int, c int"), ["a", "b"])
+    assert two.put_one({"a": None, "b": 1}, {"c": 3}).get_all().collect() == [(None, 1, 3)]
+    assert two.separate({"a": 1, "b": 2, "c": 3}) == ({"a": 1, "b": 2}, {"c": 3})
+    for bad in (lambda: two.get_value("x"), lambda: two.get("x"), lambda: two.put_one({"a": 1}, {"c": 1}), lambda: kv.checked_names("bad name", [], []), lambda: kv.checked_names("t", ["a"], ["a"])):
+        with pytest.raises(ValueError):
+            bad()
+    outputs = stores.TaskOutputRepository.at(spark, str(tmp_path / "o"))
+    outputs.save("taskType1", {"id": "task1", "deep": {"b": 1, "a": 2}}, {"result": "success"})
+    assert outputs.get("taskType1", {"deep": {"a": 2, "b": 1}, "id": "task1"}) == {"result": "success"}
+    assert outputs.get("taskType1", {"id": "task2"}) is None and outputs.get("other", {"id": "task1"}) is None and outputs.size() == 1
+    graphs = stores.TaskGraphRepository.at(spark, str(tmp_path / "g"))
+    graph = g.serial([g.Task("a", SQUARE, {"input": 2}), g.Task("b", DOUBLE)], "output", "input")
+    graphs.save("g1", graph)
+    assert graphs.get("g1").to_json() == graph.to_json() and graphs.get("g2") is None
+    graphs.clear()
+    assert graphs.size() == 0
+
+
+def test_catalog_writes(spark):
+    catalog = kv.seeds(spark)
+    catalog = catalog.add_models(spark.createDataFrame([("m", "offline", 3, False)], catalog.models.schema)).connect(spark.createDataFrame([("TextSummaryTask", "m"), ("TextSummaryTask", "m")], "task string, model string"))
+    assert catalog.size().first()[0] == 3 and catalog.models_by_task("TextSummaryTask").count() == 2 and catalog.by_name("m").count() == 1
+    rows = {r.name: r for r in catalog.ports({"embedding_model": "TextEmbeddingTask", "summarization_model": "TextSummaryTask"}).collect()}
+    assert rows["m"].embedding_model is None and rows["m"].summarization_model == "m" and rows["offline-embed-64"].embedding_model == "offline-embed-64"
+    kv.set_catalog(catalog)
+    assert kv.get_catalog() is catalog
+
+
+def test_table_layers_of_cycles_and_depth(spark):
+    chain = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(8)], "source string, target string")
+    nodes = spark.createDataFrame([(f"n{i:02d}",) for i in range(9)], "id string")
+    assert {r.id: r.layer for r in g.table_layers(nodes, chain).collect()} == {f"n{i:02d}": i for i in range(9)}
+    with pytest.raises(g.GraphError, match="cycle"):
+        g.table_layers(nodes, chain.union(spark.createDataFrame([("x", "y"), ("y", "x")], chain.schema)))
