@@ -76,7 +76,7 @@ def test_vectors(spark):
     assert [r.vec_id for r in rows] == [2, 3] and rows[0].score == 1.0
     assert len(vectors.top_k(df, [1.0, 0.0], None).collect()) == 3
     assert df.select(vectors.magnitude(F.col("embedding")).alias("m")).first().m == 5.0
-    with pytest.raises(Exception, match="zero vector"):
+    with pytest.raises(Exception, match="no direction"):
         spark.createDataFrame([([0.0],)], "v array<double>").select(vectors.normalize(F.col("v"))).collect()
 
 
@@ -252,3 +252,103 @@ def test_table_layers_of_cycles_and_depth(spark):
     assert {r.id: r.layer for r in g.table_layers(nodes, chain).collect()} == {f"n{i:02d}": i for i in range(9)}
     with pytest.raises(g.GraphError, match="cycle"):
         g.table_layers(nodes, chain.union(spark.createDataFrame([("x", "y"), ("y", "x")], chain.schema)))
+
+
+def test_queue_runs_retries_aborts_and_limits(spark):
+    from datetime import datetime, timedelta
+
+    from weftline.streaming import queue as q
+
+    now = datetime(2024, 1, 1)
+
+    def work(text):
+        if text.startswith("retry"):
+            raise q.RetryableJobError("later", 60)
+        if text.startswith("bad"):
+            raise ValueError("broken")
+        return text.replace("input", "output", 1)
+
+    jobs = q.JobQueue(spark, "q", work).start()
+    jobs.add(spark.createDataFrame([("a", "input1", "r1", 10, None), ("b", "retry", "r1", 2, None), ("c", "bad", "r2", 10, None), ("d", "input2", "r2", 10, now - timedelta(days=1))], "id string, input string, jobRunId string, maxRetries int, deadlineAt timestamp"), now)
+    assert jobs.size() == 4 and jobs.by_run("r1").count() == 2 and jobs.process(now) == 4
+    state = {r.id: r for r in jobs.jobs.collect()}
+    assert (state["a"].status, state["a"].output, state["a"].progress, state["a"].retries) == ("COMPLETED", "output1", 100.0, 0)
+    assert (state["b"].status, state["b"].retries, state["b"].runAfter) == ("NEW", 1, now + timedelta(seconds=60))
+    assert (state["c"].status, state["c"].errorCode) == ("FAILED", q.PERMANENT) and "deadline" in state["d"].error
+    assert jobs.output_for_input("input1") == "output1" and jobs.output_for_input("x") is None
+    assert jobs.process(now) == 0 and jobs.peek(now=now).first().id == "b" and jobs.process(now + timedelta(seconds=60)) == 1
+    assert jobs.get("b").first().status == "FAILED"
+    assert jobs.wait_for("a") == "output1"
+    with pytest.raises(q.PermanentJobError, match="broken"):
+        jobs.wait_for("c")
+    row = jobs.stats().first()
+    assert (row.total, row.completed, row.failed, row.aborted, row.retried) == (4, 1, 3, 0, 1)
+    with pytest.raises(Exception, match="COMPLETED"):
+        jobs.update_progress(spark.createDataFrame([("a", 10.0, "m", None)], "id string, progress double, message string, details string"))
+
+    jobs.clear().add(spark.createDataFrame([(x, "input", run) for x, run in (("1", "run-1"), ("2", "run-1"), ("3", "run-2"))], "id string, input string, jobRunId string"), now)
+    assert [r.id for r in jobs.claim(1, now).collect()] == ["1"]
+    jobs.update_progress(spark.createDataFrame([("1", 150.0, "Halfway there", None), ("2", -10.0, "x", None)], "id string, progress double, message string, details string"))
+    assert {r.id: r.progress for r in jobs.jobs.collect()} == {"1": 100.0, "2": 0.0, "3": 0.0}
+    jobs.abort_run("run-1", now)
+    assert {r.id: r.status for r in jobs.jobs.collect()} == {"1": "ABORTING", "2": "FAILED", "3": "NEW"}
+    jobs.complete(spark.createDataFrame([("1", "late", None, None, None)], q.RESULTS), now)
+    assert {r.id: (r.status, r.errorCode) for r in jobs.jobs.collect()} == {"1": ("FAILED", q.ABORT), "2": ("FAILED", q.ABORT), "3": ("NEW", None)}
+    with pytest.raises(q.AbortSignalJobError):
+        jobs.wait_for("2")
+    jobs.stop()
+    assert jobs.process(now) == 0 and jobs.restart().size() == 0
+
+    rate = q.JobQueue(spark, "q", work, q.RateLimiter(4, 1))
+    rate.add(spark.createDataFrame([(f"{i:02d}", "input") for i in range(15)], "id string, input string"), now)
+    assert rate.process(now) == 4 and rate.process(now) == 0 and rate.get("14").first().status == "NEW"
+    assert rate.limiter.next_time(now) == now + timedelta(minutes=1) and rate.process(now + timedelta(minutes=1)) == 4
+
+
+def test_limiters():
+    from datetime import datetime, timedelta
+
+    from weftline.streaming import queue as q
+
+    now, ms = datetime(2024, 1, 1), lambda n: timedelta(milliseconds=n)
+    c = q.ConcurrencyLimiter(2)
+    c.record_start(now)
+    assert not c.can_proceed(now) and c.can_proceed(now + ms(1000))
+    c.record_start(now + ms(1000))
+    assert not c.can_proceed(now + ms(5000))
+    c.record_completion(now + ms(5000))
+    assert c.can_proceed(now + ms(5000))
+    d = q.DelayLimiter()
+    d.record_start(now)
+    assert not d.can_proceed(now + ms(49)) and d.can_proceed(now + ms(50))
+    both = q.CompositeLimiter([d, q.RateLimiter(1, 1)])
+    both.record_start(now)
+    assert not both.can_proceed(now + ms(60)) and both.next_time(now) == now + timedelta(minutes=1)
+    both.clear()
+    assert both.can_proceed(now)
+
+
+def test_vector_checks_and_pooling(spark):
+    df = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0], True, True)], "a array<double>, b array<double>, na boolean, nb boolean")
+    assert vectors.checked_vectors(df, ["a", "b"], ["na", "nb"]).count() == 1
+    for bad in (df.withColumn("b", F.array(F.lit(1.0))), df.withColumn("a", F.array().cast("array<double>")), df.withColumn("nb", F.lit(False))):
+        with pytest.raises(Exception, match="vector"):
+            vectors.checked_vectors(bad, ["a", "b"], ["na", "nb"]).collect()
+    assert df.select(vectors.mean_pooled(F.array("a", "b")).alias("m")).first().m == [0.5, 1.0]
+    many = spark.createDataFrame([(i, [float(i % 7), 1.0 + i % 3]) for i in range(60)], "vec_id int, embedding array<double>")
+    got = vectors.top_k_of_each(many, many.filter("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 4)
+    for i in range(3):
+        want = [r.vec_id for r in vectors.top_k(many, many.filter(f"vec_id = {i}").first().embedding, 4).collect()]
+        assert [r.vec_id for r in got.filter(f"query_id = {i}").orderBy(F.desc("score"), "vec_id").collect()] == want
+
+
+def test_sinks(spark, caplog):
+    from weftline.operators import sinks
+
+    with caplog.at_level("INFO", logger="weftline"):
+        assert sinks.logged(spark.range(2)).count() == 2 and "id" in caplog.text
+    with pytest.raises(ValueError, match="No runner provided"):
+        sinks.applied(None)
+    assert sinks.applied(lambda x: x + 1, 2) == 3 and sinks.applied(lambda d: d.filter("id > 0"), spark.range(2)).count() == 1
+    out = sinks.OutputSink(lambda d: d.count())(spark.range(1), {"model": "m"})
+    assert out.schema["id"].metadata == {"provenance": {"model": "m"}}

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 METRICS = ("reference", "cosine", "inner", "jaccard", "hamming")
 
@@ -24,7 +29,7 @@ def magnitude(v: Column) -> Column:
 def normalize(v: Column) -> Column:
     """v / |v|; a zero vector raises."""
     size = magnitude(v)
-    return F.when(size == 0, F.raise_error(F.lit("Cannot normalize a zero vector."))).otherwise(F.transform(doubles(v), lambda x: x / size))
+    return F.when(size == 0, F.raise_error(F.lit("a zero vector has no direction"))).otherwise(F.transform(doubles(v), lambda x: x / size))
 
 
 def inner(a: Column, b: Column) -> Column:
@@ -47,13 +52,69 @@ def score(a: Column, b: Column, metric: str = "reference", both_normalized: bool
     raise ValueError(f"metric must be one of {METRICS}")
 
 
-def top_k(corpus: DataFrame, query: list[float], k: int | None, vector: str = "embedding", tie: str = "vec_id", metric: str = "cosine") -> DataFrame:
-    """Rows of corpus by descending score against one query vector; k None keeps all. The query is a literal: no join, one TakeOrdered."""
+def against(corpus: DataFrame, query: DataFrame) -> DataFrame:
+    """corpus with the one row of query: a broadcast of one row, which is checked when the plan runs."""
+    one = query.agg(*[F.when(F.count("*") != 1, F.raise_error(F.lit("the query must be one row"))).otherwise(F.first(c)).alias(c) for c in query.columns])
+    return corpus.crossJoin(F.broadcast(one))
+
+
+def top_k(corpus: DataFrame, query: list[float] | DataFrame, k: int | None, vector: str = "embedding", tie: str = "vec_id", metric: str = "cosine") -> DataFrame:
+    """Rows of corpus by descending score against one query: a list of numbers (a literal: no join) or a table of one row (query).
+
+    With k one TakeOrdered; k None keeps all rows, without an order, which would sort the whole corpus.
+    """
     if k is not None and k < 1:
         raise ValueError("k must be positive")
-    q = F.array(*[F.lit(float(x)) for x in query])
-    out = corpus.withColumn("score", score(F.col(vector), q, metric)).orderBy(F.desc("score"), tie)
-    return out if k is None else out.limit(k)
+    if isinstance(query, DataFrame):
+        out = against(corpus, query).withColumn("score", score(F.col(vector), F.col("query"), metric)).drop("query")
+    else:
+        out = corpus.withColumn("score", score(F.col(vector), F.array(*[F.lit(float(x)) for x in query]), metric))
+    return out if k is None else out.orderBy(F.desc("score"), tie).limit(k)
+
+
+def top_k_of_each(corpus: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", tie: str = "vec_id", query_id: str = "query_id", query: str = "query", rows: int = 1024) -> DataFrame:
+    """(query_id, tie, score): the k best by cosine for each query of a stated query table (query_id, query).
+
+    Queries are gathered in blocks of `rows`, so a task meets one block of queries with one Arrow batch of the
+    corpus at a time, scores them by one matrix product and keeps k for each query; then k of those few.
+    """
+    key = F.pmod(F.xxhash64(query_id), F.greatest(F.lit(1), F.ceil(F.count("*").over(W.partitionBy()) / rows)))
+    blocks = queries.select(F.col(query_id).alias("q"), doubles(F.col(query)).alias("x"), key.alias("b")).groupBy("b").agg(F.collect_list(F.struct("q", "x")).alias("qs"))
+    kind = queries.schema[query_id].dataType.simpleString()
+    tie_kind = corpus.schema[tie].dataType.simpleString()
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for _, part in pdf.groupby("b"):
+                held = part["qs"].iloc[0]
+                q = np.array([r["x"] for r in held], float)
+                v = np.stack(part["v"].to_numpy()).astype(float)
+                scores = (q @ v.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1))
+                ids = part["t"].to_numpy()
+                for i, r in enumerate(held):
+                    top = np.lexsort((ids, -scores[i]))[:k]
+                    yield pd.DataFrame({query_id: r["q"], tie: ids[top], "score": scores[i][top]})
+
+    src = corpus.select(F.col(tie).alias("t"), F.col(vector).alias("v")).crossJoin(F.broadcast(blocks))
+    few = src.mapInPandas(best, f"{query_id} {kind}, {tie} {tie_kind}, score double")
+    rank = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("score"), tie))
+    return few.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
+
+
+def checked_vectors(df: DataFrame, columns: list[str], normalized: list[str] | None = None) -> DataFrame:
+    """df, whose vectors must not be empty, must be of one length in each row and, where flags are named, all normalized or none."""
+    first = columns[0]
+    bad = [F.when(F.size(first) < 1, F.raise_error(F.lit("a vector is empty")))]
+    bad += [F.when(F.size(c) != F.size(first), F.raise_error(F.lit("vectors differ in length"))) for c in columns[1:]]
+    bad += [F.when(F.col(n) != F.col(normalized[0]), F.raise_error(F.lit("some vectors are normalized, others not"))) for n in (normalized or [])[1:]]
+    return df.filter(F.coalesce(*[b.cast("boolean") for b in bad], F.lit(True)))
+
+
+def mean_pooled(vectors: Column, normal: bool = False) -> Column:
+    """The mean of an array of vectors (of tokens), normalized if wanted."""
+    total = F.aggregate(F.slice(vectors, 2, F.greatest(F.size(vectors) - 1, F.lit(0))), doubles(F.get(vectors, F.lit(0))), lambda s, v: F.zip_with(s, doubles(v), lambda a, b: a + b))
+    mean = F.transform(total, lambda x: x / F.size(vectors))
+    return normalize(mean) if normal else mean
 
 
 def checked_dimension(v: Column, native: int) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from weftline.functions import es5
 from weftline.operators import documents, lifting, models, vectors
 from weftline.plans import graph as g
-from weftline.sources import kv
+from weftline.sources import kv, stores
+from weftline.operators.sinks import applied, logged
 from weftline.streaming import jobs
 
 QUERIES: dict = {}
@@ -32,18 +33,19 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 g.register(g.Operator("Scan", lambda spark, path: {"table": spark.read.parquet(path)}, [g.Port("spark"), g.Port("path", "text", required=True)], [g.Port("table", "table")]))
-g.register(g.Operator("TopK", lambda table, query, k: {"table": vectors.top_k(table, query, k)}, [g.Port("table", "table", required=True), g.Port("query", "number", True), g.Port("k", "number")], [g.Port("table", "table")]))
+g.register(g.Operator("TopK", lambda table, query, k: {"table": vectors.top_k(table, query, k)}, [g.Port("table", "table", required=True), g.Port("query", "any"), g.Port("k", "number")], [g.Port("table", "table")]))
 g.register(g.Operator("Select", lambda table, columns: {"table": table.select(*columns)}, [g.Port("table", "table", required=True), g.Port("columns", "text", True)], [g.Port("table", "table")]))
-g.register(g.Operator("DebugLog", lambda table, log_level: {"table": table}, [g.Port("table", "table", required=True), g.Port("log_level", "log_level", default="info")], [g.Port("table", "table")], side_effects=True))
-g.register(g.Operator("Lambda", lambda fn, input: {"output": fn(input)}, [g.Port("fn", "function", required=True), g.Port("input")], [g.Port("output")]))
+g.register(g.Operator("DebugLog", lambda table, log_level: {"table": logged(table, log_level)}, [g.Port("table", "table", required=True), g.Port("log_level", "log_level", default="info")], [g.Port("table", "table")], side_effects=True))
+g.register(g.Operator("Lambda", lambda fn, input: {"output": applied(fn, input)}, [g.Port("fn", "any"), g.Port("input")], [g.Port("output")]))
 
 _DOT = "list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
 _MAG = "sqrt(list_dot_product(CAST({0}.embedding AS DOUBLE[]), CAST({0}.embedding AS DOUBLE[])))"
 _Q = "(SELECT embedding FROM embeddings WHERE vec_id = 0) q"
 
 
-def _vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
-    return [float(x) for x in t(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).first().embedding]
+def _vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> DataFrame:
+    """The query: one row of one vector, joined when the plan runs."""
+    return t(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).select(F.col("embedding").alias("query"))
 
 
 @query(f"SELECT v.vec_id, v.label, {_DOT} / ({_MAG.format('v')} * {_MAG.format('q')}) AS score FROM embeddings v, {_Q} ORDER BY score DESC, vec_id LIMIT 10")
@@ -59,8 +61,7 @@ def similarity_reference(spark, sf_dir):
 
 @query(f"SELECT v.vec_id, 1.0 - {_DOT} AS distance, {_MAG.format('v')} AS magnitude FROM embeddings v, {_Q}")
 def vector_inner_magnitude(spark, sf_dir):
-    q = F.array(*[F.lit(x) for x in _vector(spark, sf_dir)])
-    return t(spark, sf_dir, "embeddings").select("vec_id", vectors.inner(F.col("embedding"), q).alias("distance"), vectors.magnitude(F.col("embedding")).alias("magnitude"))
+    return vectors.against(t(spark, sf_dir, "embeddings"), _vector(spark, sf_dir)).select("vec_id", vectors.inner(F.col("embedding"), F.col("query")).alias("distance"), vectors.magnitude(F.col("embedding")).alias("magnitude"))
 
 
 @query(f"SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) / {_MAG.format('v')} AS x FROM embeddings v, range(64) r(i)")
@@ -74,15 +75,13 @@ def vector_normalize(spark, sf_dir):
 (SELECT list_distinct(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 20) AS INT))) AS b FROM embeddings WHERE vec_id = 0) q""")
 def similarity_jaccard(spark, sf_dir):
     grid = lambda c: F.array_distinct(F.transform(c, lambda x: F.floor(x.cast("double") * 20).cast("int")))
-    q = F.array(*[F.lit(x) for x in _vector(spark, sf_dir)])
-    return t(spark, sf_dir, "embeddings").select("vec_id", vectors.score(grid(F.col("embedding")), grid(q), "jaccard").alias("jaccard"))
+    return vectors.against(t(spark, sf_dir, "embeddings"), _vector(spark, sf_dir)).select("vec_id", vectors.score(grid(F.col("embedding")), grid(F.col("query")), "jaccard").alias("jaccard"))
 
 
 @query("""SELECT v.vec_id, CAST(len(list_filter(range(1, 65), lambda i: (v.embedding[i] > 0) <> (q.embedding[i] > 0))) AS INT) AS hamming FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q""")
 def similarity_hamming(spark, sf_dir):
     sign = lambda c: F.transform(c, lambda x: (x > 0).cast("int"))
-    q = F.array(*[F.lit(x) for x in _vector(spark, sf_dir)])
-    return t(spark, sf_dir, "embeddings").select("vec_id", vectors.score(sign(F.col("embedding")), sign(q), "hamming").alias("hamming"))
+    return vectors.against(t(spark, sf_dir, "embeddings"), _vector(spark, sf_dir)).select("vec_id", vectors.score(sign(F.col("embedding")), sign(F.col("query")), "hamming").alias("hamming"))
 
 
 @query("""WITH a AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS ks FROM orders GROUP BY 1)
@@ -118,19 +117,17 @@ def graph_layers(spark, sf_dir):
 
 @query(f"SELECT source AS id, count(*) AS n_targets FROM {_EDGES} GROUP BY 1")
 def graph_target_flows(spark, sf_dir):
-    return _edges(spark, sf_dir).groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n_targets"))
+    return g.flow_counts(_edges(spark, sf_dir)).withColumnRenamed("n", "n_targets")
 
 
 @query("""SELECT c_nationkey AS target, CASE WHEN count(*) = 1 THEN 'object' ELSE 'array' END AS form, list(c_custkey ORDER BY c_custkey) AS sources FROM customer GROUP BY 1""")
 def graph_dependency_fold(spark, sf_dir):
-    out = t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("target")).agg(F.array_sort(F.collect_list("c_custkey")).alias("sources"))
-    return out.withColumn("form", F.when(F.size("sources") == 1, "object").otherwise("array"))
+    return g.dependency_fold(t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source"), F.col("c_nationkey").alias("target"), F.lit("input").alias("input"))).drop("input")
 
 
 @query("SELECT l_orderkey, source, target FROM (SELECT l_orderkey, l_linenumber AS source, lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS target FROM lineitem) WHERE target IS NOT NULL")
 def graph_serial_edges(spark, sf_dir):
-    rows = t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("source"), F.lead("l_linenumber").over(W.partitionBy("l_orderkey").orderBy("l_linenumber")).alias("target"))
-    return rows.filter(F.col("target").isNotNull())
+    return g.serial_edges(t(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
 
 
 @query("SELECT user_id, event_id, ts, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
@@ -163,9 +160,9 @@ _FP = "sha256('{\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_reg
 
 @query(f"SELECT n_nationkey, {_FP} AS fingerprint, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS cached FROM nation")
 def memo_probe(spark, sf_dir):
-    rows = t(spark, sf_dir, "nation").withColumn("fingerprint", kv.fingerprint(["n_regionkey", "n_nationkey"]))
-    held = rows.filter("n_nationkey % 2 = 0").select("fingerprint", F.col("n_name").alias("cached"))
-    return rows.select("n_nationkey", "fingerprint").join(held, "fingerprint", "left")
+    nation = t(spark, sf_dir, "nation")
+    held = nation.filter("n_nationkey % 2 = 0").select(kv.fingerprint(["n_regionkey", "n_nationkey"]).alias("fingerprint"), F.col("n_name").alias("cached"))
+    return stores.probe(nation, ["n_regionkey", "n_nationkey"], held).select("n_nationkey", "fingerprint", "cached")
 
 
 def _catalog(spark, sf_dir) -> kv.ModelCatalog:
@@ -248,6 +245,12 @@ def _jobs(spark, sf_dir) -> DataFrame:
 _JOBS = "(SELECT event_id AS id, event_type AS queue, ts AS created_at, ts + to_minutes(CAST(event_id % 90 AS INT)) AS run_after, CASE WHEN event_id % 3 = 0 THEN 'COMPLETED' ELSE 'NEW' END AS status, CAST(event_id % 4 AS INT) AS retries, CASE WHEN event_id % 5 < 2 THEN 'boom' END AS error, event_id % 2 = 0 AS retryable, user_id, value FROM events)"
 
 
+def _at_first_day(spark, sf_dir) -> DataFrame:
+    """The jobs with the moment one day after the first event, a table of one row."""
+    now = t(spark, sf_dir, "events").agg((F.min("ts") + F.expr("INTERVAL 1 DAY")).alias("now"))
+    return _jobs(spark, sf_dir).crossJoin(F.broadcast(now))
+
+
 @query(f"SELECT id, CASE WHEN error IS NULL THEN 'COMPLETED' WHEN retryable AND retries + 1 < 3 THEN 'NEW' ELSE 'FAILED' END AS status FROM {_JOBS}")
 def job_transitions(spark, sf_dir):
     return _jobs(spark, sf_dir).select("id", jobs.completed_status(F.col("error"), F.col("retryable"), F.col("retries"), F.lit(3)).alias("status"))
@@ -260,14 +263,12 @@ def job_stats(spark, sf_dir):
 
 @query(f"SELECT id, queue, run_after FROM {_JOBS} WHERE status = 'NEW' AND run_after > (SELECT min(ts) + INTERVAL 1 DAY FROM events) ORDER BY run_after, id LIMIT 100")
 def job_peek(spark, sf_dir):
-    first = t(spark, sf_dir, "events").agg(F.min("ts")).first()[0]
-    return jobs.peek(_jobs(spark, sf_dir), F.lit(first) + F.expr("INTERVAL 1 DAY")).select("id", "queue", "run_after")
+    return jobs.peek(_at_first_day(spark, sf_dir), F.col("now")).select("id", "queue", "run_after")
 
 
 @query(f"SELECT id, queue FROM {_JOBS} WHERE status = 'NEW' AND run_after <= (SELECT min(ts) + INTERVAL 1 DAY FROM events) ORDER BY created_at, id LIMIT 1")
 def job_next(spark, sf_dir):
-    first = t(spark, sf_dir, "events").agg(F.min("ts")).first()[0]
-    return jobs.next_job(_jobs(spark, sf_dir), F.lit(first) + F.expr("INTERVAL 1 DAY")).select("id", "queue")
+    return jobs.next_job(_at_first_day(spark, sf_dir), F.col("now")).select("id", "queue")
 
 
 @query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type OR before IS NULL")
@@ -275,7 +276,7 @@ def job_progress_changes(spark, sf_dir):
     return jobs.changes(t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts"), "user_id", ["ts", "event_id"], ["event_type"]).select("event_id", "user_id", "event_type")
 
 
-@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS in_window FROM events")
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS in_window FROM events")
 def limiter_window_counts(spark, sf_dir):
     return jobs.window_counts(t(spark, sf_dir, "events"), "user_id", "ts", 86400).select("event_id", "in_window")
 

@@ -41,9 +41,9 @@ def changes(progress: DataFrame, job: str, order: list[str], values: list[str])
 
 
 def window_counts(requests: DataFrame, queue: str, ts: str, seconds: int) -> DataFrame:
-    """Requests of the queue in the last seconds, this one included."""
+    """Requests of the queue in the last seconds, this one included; one exactly so many seconds old no longer counts."""
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = W.partitionBy(queue).orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
+    w = W.partitionBy(queue).orderBy("_at").rangeBetween(1 - seconds * 1_000_000, 0)
     return requests.withColumn("_at", at).withColumn("in_window", F.count("*").over(w)).drop("_at")
 
 
