@@ -352,3 +352,77 @@ def test_sinks(spark, caplog):
     assert sinks.applied(lambda x: x + 1, 2) == 3 and sinks.applied(lambda d: d.filter("id > 0"), spark.range(2)).count() == 1
     out = sinks.OutputSink(lambda d: d.count())(spark.range(1), {"model": "m"})
     assert out.schema["id"].metadata == {"provenance": {"model": "m"}}
+
+
+def test_es5_edge_values(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("v")).first().v
+    L = F.lit  # noqa: N806
+    inf, nan = float("inf"), float("nan")
+    assert [value(es5.to_int32(L(x))) for x in (nan, inf, 1e20, -1.9, 4294967296.0 + 5, 2147483648.0)] == [0, 0, 1661992960, -1, 5, -2147483648]
+    assert [value(es5.to_fixed(L(x), d)) for x, d in ((1.005, 2), (0.5, 0), (2.5, 0), (1.45, 1), (-1.5, 0), (10.235, 2), (3.0, 2), (0.000001, 7))] == ["1.00", "1", "3", "1.4", "-2", "10.23", "3.00", "0.0000010"]
+    assert [value(es5.to_radix(L(x), r)) for x, r in ((-255, 16), (255, 2), (0, 7))] == ["-ff", "11111111", "0"]
+    assert [value(es5.parse_int(L(x), r)) for x, r in (("0x1F", 0), (" 42px", 0), ("-12", 0), ("101", 2), ("z", 36), ("1f", 16))] == [31.0, 42.0, -12.0, 5.0, 35.0, 31.0]
+    assert math.isnan(value(es5.parse_int(L("x"))))
+    assert [value(es5.number_text(L(x))) for x in (1.0, 1e7, 0.1, 1e21, 1.5e-7, -2.5, 123456789.125, 1e-6, nan, inf, 0.0, 1.2345e20)] == ["1", "10000000", "0.1", "1e+21", "1.5e-7", "-2.5", "123456789.125", "0.000001", "NaN", "Infinity", "0", "123450000000000000000"]
+    nums = F.array(*[L(x) for x in (10.0, 9.0, 1.0, 1e7)])
+    assert value(es5.array_join(es5.sort_as_text(nums, "double"), ",", "double")) == "1,10,10000000,9"
+    assert [value(es5.number_of(L(x))) for x in ("", " 12 ", "0x10", "1e3")] == [0.0, 12.0, 16.0, 1000.0] and math.isnan(value(es5.number_of(L("1x"))))
+    assert value(es5.add(L(1.0), L("a"), "double", "string")) == "1a" and value(es5.add(L(1), L(2), "int", "int")) == 3.0
+    assert value(es5.divide(L(1), L(0))) == inf and math.isnan(value(es5.remainder(L(5), L(0)))) and value(es5.remainder(L(-5), L(3))) == -2.0
+    assert [value(es5.loosely_equal(L("1"), L(1.0), "string", "double")), value(es5.strictly_equal(L("1"), L(1.0), "string", "double")), value(es5.strictly_equal(L(1), L(1.0), "int", "double")), value(es5.strictly_equal(L(nan), L(nan), "double", "double"))] == [True, False, True, False]
+    assert value(es5.char_code_at(L("a🙂"), 1)) == 0xD83D and value(es5.utf16_length(L("a🙂"))) == 3
+    assert value(es5.from_char_code(F.array(L(0xD83D), L(0xDE42), L(65)))) == "🙂A"
+    assert value(es5.encode_uri_component(L("a b&é/"))) == "a%20b%26%C3%A9%2F" and value(es5.encode_uri(L("a b&é/"))) == "a%20b&%C3%A9/"
+    assert value(es5.decode_uri_component(L("a%20b%26%C3%A9+"))) == "a b&é+" and value(es5.decode_uri(L("a%20b%26"))) == "a b%26"
+    assert value(es5.escape(L("é 漢a"))) == "%E9%20%u6F22a" and value(es5.unescape(L("%E9%20%u6F22a%"))) == "é 漢a%"
+    assert value(es5.replace(L("aXbXc"), "X(.)", "<$1>")) == "aA".replace("A", "<b>") + "Xc" and value(es5.replace(L("aXbxc"), "x", "-", "gi")) == "a-b-c" and value(es5.replace(L("aXbxc"), "x", "-", "i")) == "a-bxc"
+    assert value(es5.exec(L("k=v"), r"(\w)=(\w)")) == ["k=v", "k", "v"] and value(es5.test(L("ABC"), "b", "i"))
+    arr = F.array(L(3), L(1), L(2), L(1))
+    assert value(es5.array_index_of(arr, L(1), 2)) == 3 and value(es5.array_last_index_of(arr, L(1))) == 3 and value(es5.array_index_of(arr, L(9))) == -1
+    assert [value(c) for c in es5.pop(arr)] == [1, [3, 1, 2]] and [value(c) for c in es5.shift(arr)] == [3, [1, 2, 1]]
+    assert [value(c) for c in es5.push(arr, L(7))] == [5, [3, 1, 2, 1, 7]] and [value(c) for c in es5.unshift(arr, L(7))] == [5, [7, 3, 1, 2, 1]]
+    assert value(es5.fold_right(arr, L(""), lambda t, x: F.concat(t, x.cast("string")))) == "1213" and value(es5.fold_first(arr, lambda t, x: t - x)) == -1
+    with pytest.raises(Exception, match="nothing to begin"):
+        value(es5.fold_first(F.array().cast("array<int>"), lambda t, x: t + x))
+    assert value(es5.date_utc(L(2024), L(13), L(1))) == 1738368000000 and value(es5.iso(es5.date_set(F.to_timestamp(L("2024-01-31 10:00:00")), "month", L(1)))) == "2024-03-02T10:00:00.000Z"
+    assert [value(es5.to_precision(L(x), p)) for x, p in ((123.456, 4), (0.000123, 2), (1e21, 3), (1234.5, 2))] == ["123.5", "0.00012", "1.00e+21", "1.2e+3"] and value(es5.to_exponential(L(12345.0), 2)) == "1.23e+4"
+    assert math.isnan(value(es5.minimum(L(1.0), L(nan)))) and value(es5.maximum(L(1.0), L(3.0))) == 3.0 and value(es5.MATH["log"](L(0.0))) == -inf
+    assert value(es5.substr(L("abcdef"), -3, 2)) == "de" and value(es5.locale_compare(L("a"), L("b"))) == -1 and es5.type_of("int") == "number"
+    assert value(es5.without_key(F.create_map(L("a"), L(1), L("b"), L(2)), "a")) == {"b": 2} and value(es5.is_finite(L(inf))) is False
+
+
+@pytest.mark.parametrize("code, want", [
+    ("1 + 2 * 3 - 4 / 2 % 3", 5), ("'a' + 1 + 2", "a12"), ("var a = [3, 1, 10]; a.sort().join('-')", "1-10-3"), ("var s = 0; for (var i = 0; i < 5; i++) { if (i == 3) continue; s += i; } s", 7),
+    ("function f(n) { return n < 2 ? n : f(n - 1) + f(n - 2); } f(10)", 55), ("var o = {a: 1, 'b c': [2]}; delete o.a; Object.keys(o)", ["b c"]), ("typeof nope + typeof 1 + typeof null", "undefinednumberobject"),
+    ("try { null.x } catch (e) { e.name }", "TypeError"), ("try { throw new RangeError('far') } catch (e) { e instanceof Error && e.message } finally { var z = 1 }", "far"), ("(5).toFixed(2) + (1.005).toFixed(2) + (255).toString(16) + (-255).toString(16)", "5.001.00ff-ff"),
+    ("switch (3) { case 1: 'a'; break; case 3: var r = 'c'; default: r += 'd' } r", "cd"), ("outer: for (var i = 0; i < 3; i++) for (var j = 0; j < 3; j++) if (j == 1) continue outer; else if (i == 2) break outer; i + ':' + j", "2:0"),
+    ("'a-b-c'.replace(/-/g, function (m, at) { return at; }) + 'xyz'.replace('y', '[$&]')", "a1b3cx[y]z"), ("/(\\w)(\\d)/.exec('x a1').slice(1)", ["a", "1"]), ("'aXbX'.split('X')", ["a", "b", ""]), ("[1, [2, 3]].concat([4], 5).length", 4),
+    ("[1, 2, 3].map(function (x) { return x * x }).filter(function (x) { return x > 1 }).reduce(function (a, b) { return a + b })", 13), ("JSON.stringify({a: [1, 'x', null, undefined], b: undefined})", '{"a":[1,"x",null,null]}'), ("JSON.parse('{\"k\": [1, 2]}').k[1]", 2),
+    ("1e20 | 0", 1661992960), ("NaN | 0", 0), ("-1 >>> 28", 15), ("'5' * '2' == 10 && '5' === 5", False), ("null == undefined && null !== undefined", True), ("0 || 'x' && 'y'", "y"), ("new Date(0).toISOString()", "1970-01-01T00:00:00.000Z"),
+    ("new Date(Date.UTC(2024, 1, 30)).getUTCDate()", 1), ("encodeURIComponent('a b&é') + escape('漢')", "a%20b%26%C3%A9%u6F22"), ("parseInt('0x1F') + parseInt('12px') + parseFloat('3.5e1x')", 78), ("Math.max(1, 3, 2) + Math.round(-2.5)", 1), ("isNaN('x') && !isFinite(1 / 0)", True),
+    ("var c = 0; do { c++ } while (c < 4); var k = ''; for (var p in {x: 1, y: 2}) k += p; k + c", "xy4"), ("function P(n) { this.n = n } P.prototype.get = function () { return this.n }; new P(7).get()", 7), ("(function () { return arguments.length }).call(null, 1, 2)", 2),
+    ("var x = 1; x += 2; x <<= 3; x ^= 1; x--; x", 24), ("input.a + input.list[1]", 12), ("String.fromCharCode(72, 105) + 'abc'.charCodeAt(1)", "Hi98"), ("[3, 2, 1].indexOf(1) + 'hello'.lastIndexOf('l')", 5), ("void 0", None), ("1 in [5, 6] && 'a' in {a: 1}", True),
+    ("var f = function () { return this.v }.bind({v: 4}); f()", 4), ("// note\n/* more */ 1, 2", 2), ("'abc'.substr(-2, 1) + 'abc'.substring(2, 0) + 'abc'.slice(-1)", "babc"), ("[1,2,3,4].splice(1, 2)", [2, 3]), ("0.1 + 0.2", 0.30000000000000004), ("1e21 + ''", "1e+21"),
+])
+def test_scripts(code, want):
+    from weftline.functions import script
+
+    got = script.evaluate(code, {"a": 10, "list": [1, 2]})
+    assert got == want and type(got) is type(want)
+
+
+def test_script_errors_and_table(spark):
+    from weftline.functions import script
+
+    for bad in ("eval('1')", "new Function('1')", "nope()", "throw 'x'"):
+        with pytest.raises(script.Thrown):
+            script.evaluate(bad)
+    for bad in ("1 +", "while (true) {}", "var = 3", "function f() { return f() } f()"):
+        with pytest.raises((script.ScriptError, script.Thrown)):
+            script.evaluate(bad, None, 10_000)
+    df = spark.createDataFrame([(1, "a"), (2, None)], "n int, s string")
+    rows = script.javascript(df, "if (input.s === null) throw new Error('empty'); ({s: input.s + input.n})", ["n", "s"]).orderBy("n").collect()
+    assert [(r.output, r.error) for r in rows] == [('{"s":"a1"}', None), (None, "empty")]
+    with pytest.raises(script.ScriptError):
+        script.javascript(df, "1 +", ["n"])

@@ -234,7 +234,7 @@ len(list_filter(ks, lambda x: x % 2 = 0)) AS evens, coalesce(list_position(ks, k
 def es5_arrays(spark, sf_dir):
     rows = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda r: r["l_partkey"]).alias("ks"))
     ks = F.col("ks")
-    return rows.select("l_orderkey", es5.array_join(es5.sort_as_text(ks)).alias("sorted"), es5.array_join(es5.array_slice(ks, 0, 2), "-").alias("head"), F.element_at(ks, -1).alias("popped"), es5.reduce(ks, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.size(F.filter(ks, lambda x: x % 2 == 0)).alias("evens"), F.coalesce(es5.array_index_of(ks, F.get(ks, 1)), F.lit(-1)).alias("at"))
+    return rows.select("l_orderkey", es5.array_join(es5.sort_as_text(ks)).alias("sorted"), es5.array_join(es5.array_slice(ks, 0, 2), "-").alias("head"), F.element_at(ks, -1).alias("popped"), es5.fold(ks, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.size(F.filter(ks, lambda x: x % 2 == 0)).alias("evens"), F.when(F.size(ks) > 1, es5.array_index_of(ks, F.get(ks, 1))).otherwise(-1).alias("at"))
 
 
 def _jobs(spark, sf_dir) -> DataFrame:
