@@ -133,9 +133,64 @@ def test_es5(spark):
 def test_models(spark):
     df = spark.createDataFrame([("a b",), ("",), (None,)], "text string")
     rows = models.dispatch(df, "TextEmbeddingTask", "offline", ["text"], "v").collect()
-    assert math.isclose(sum(x * x for x in rows[0].v), 1.0) and len(rows[2].v) == 64
+    assert math.isclose(sum(x * x for x in rows[0].v), 1.0) and len(rows[2].v) == 64 and rows[1].v == [0.0] * 64
     with pytest.raises(KeyError):
         models.dispatch(df, "TextEmbeddingTask", "nobody", ["text"], "v")
+    one = spark.createDataFrame([("the  cat sat. The dog ran away!", "who ran", "fix", "en", "fr")], "t string, q string, p string, a string, b string")
+    run = lambda task, *cols: models.dispatch(one, task, "offline", [*cols], "out").first().out
+    assert run("TextSummaryTask", "t") == "the  cat sat. " and run("TextQuestionAnswerTask", "t", "q") == "The dog ran away!" and run("TextRewriterTask", "t", "p") == "The cat sat. The dog ran away!"
+    assert run("TextTranslationTask", "t", "a", "b").startswith("[en>fr] the") and run("TextGenerationTask", "t").endswith("! The dog ran away!")
+    with pytest.raises(Exception, match="came out"):
+        models.dispatch(spark.createDataFrame([("Same.", None)], "t string, p string"), "TextRewriterTask", "offline", ["t", "p"], "o").collect()
+    models.register("Twice", "python", lambda batches, model: (pdf.iloc[:, 0] * 2 for pdf in batches), "long")
+    assert [r.x for r in models.dispatch(spark.range(3), "Twice", "python", ["id"], "x").collect()] == [0, 2, 4]
+    loads = []
+    assert models.loaded("m", loads.append) is models.loaded("m", loads.append) and loads == ["m"]
+    catalog, seen = kv.seeds(spark), []
+    assert {r.name: r.embedding_model for r in models.download(catalog, seen.append).collect()} == {"offline-embed-64": "offline-embed-64", "offline-text": None} and len(seen) == 2
+    jobs_df = spark.createDataFrame([("1", "x", "offline-text")], "id string, text string, model string")
+    assert models.job_rows(jobs_df, "TextSummaryTask", catalog.models, ["offline"], ["text"]).first().queue == "offline"
+    for bad, queue in ((jobs_df.withColumn("model", F.lit("no")), "offline"), (jobs_df.withColumn("model", F.lit(None).cast("string")), "offline"), (jobs_df, "other")):
+        with pytest.raises(Exception, match="no "):
+            models.job_rows(bad, "T", catalog.models, [queue], ["text"]).collect()
+
+
+def test_queue_as_a_task(spark):
+    from weftline.streaming import queue as q
+
+    operator = models.queue_operator("Upper", q.JobQueue(spark, "q", str.upper))
+    rows = operator.run(rows=spark.createDataFrame([("1", "a"), ("2", "b")], "id string, input string"))["rows"]
+    assert {(r.id, r.status, r.output) for r in rows.collect()} == {("1", "COMPLETED", "A"), ("2", "COMPLETED", "B")}
+
+
+def test_lifted_operators():
+    lifted = lifting.lift(ADD, ["a", "b"])
+    assert lifted.run(a=[1, 2], b=[10, 20]) == {"output": [11, 21, 12, 22]} and lifted.run(a=1, b=2) == {"output": 3}
+    graph = g.TaskGraph().add_task(g.Task("l", lifting.lift(SQUARE, ["input"]), {"input": [6, 7]}))
+    assert graph.run() == [{"output": [36, 49]}] and "children" not in str(graph.to_json())
+    assert lifting.children("t", 2) == ["t-child-1", "t-child-2"]
+
+
+def test_documents_of_all_kinds(spark):
+    text = "zeta ![a](b) alpha\n| x | y |\nz | w\n## deep\nbody\n# top\n"
+    df = spark.createDataFrame([(1, text, "T"), (1, "other\n\nlines", None), (2, None, "")], "doc_id int, text string, title string")
+    rows = documents.markdown_fragments(df.limit(1), title_col="title").orderBy("ord", "piece").collect()
+    assert [(r.kind, r.content, r.path) for r in rows] == [("title", "T", []), ("text", "zeta", []), ("image", "![a](b)", []), ("text", "alpha", []), ("table", "| x | y |\nz | w", []), ("header", "deep", [1]), ("text", "body", [1]), ("header", "top", [2])]
+    texts = [r.texts for r in documents.split_texts(df).collect()]
+    assert texts == [["zeta", '{"alt":"a","src":"b"}', "alpha", "| x | y |\nz | w", "deep", "body", "top"], ["other\n\nlines"], []]
+    compat = documents.fold("| a | b |\n| 1 | 2 |", "T", True)
+    assert [(f["kind"], f["content"]) for f in compat] == [("text", "T"), ("table", "| a | b |\n| 1 | 2 |"), ("table", "| 1 | 2 |")]
+    doc = documents.Document("t").add_text("a").add_image("alt", "src")
+    doc.add_section("S").add_content("inside").add_section("deeper").add_table("| x |")
+    out = doc.to_df(spark).orderBy("ord").collect()
+    assert [(r.kind, r.path) for r in out] == [("text", []), ("image", []), ("header", [1]), ("text", [1]), ("header", [1, 2]), ("table", [1, 2])]
+    with pytest.raises(ValueError):
+        doc.add_content(5)
+    master = documents.MasterDocument.of_markdown(df, lang="en").add_variant("sentences", documents.sentences(df), kind="x")
+    assert master.metadata == {"lang": "en", "kind": "x"} and master.variant("paragraphs").filter("doc_id = 1 and content = 'lines'").count() == 1
+    with pytest.raises(KeyError):
+        master.variant("tree")
+    assert documents.plain_fragments(df).count() == 3
 
 
 def test_table_layers(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weftline.functions import es5
-from weftline.operators import documents, lifting, models, vectors
+from weftline.operators import documents, lifting, models, summaries, vectors
 from weftline.plans import graph as g
 from weftline.sources import kv, stores
 from weftline.operators.sinks import applied, logged
@@ -196,14 +196,26 @@ def document_line_counts(spark, sf_dir):
     return documents.paragraphs(t(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
 
 
-@query()
+_MARKDOWN = """WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS ord FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+a AS (SELECT *, regexp_matches(line, '^#{1,6}\\s') AS head, contains(line, '|') AS pipe, starts_with(trim(line), '|') AND contains(trim(line)[2:], '|') AS opens FROM l),
+b AS (SELECT *, sum(CASE WHEN pipe AND NOT head THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ord) AS run FROM a),
+c AS (SELECT *, CASE WHEN head THEN 'header' WHEN pipe AND bool_or(opens) OVER (PARTITION BY doc_id, run, head, pipe ORDER BY ord) THEN 'table' ELSE 'text' END AS kind FROM b),
+d AS (SELECT *, CASE WHEN kind = 'header' OR kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY doc_id ORDER BY ord) OR (kind = 'table' AND run <> lag(run) OVER (PARTITION BY doc_id ORDER BY ord)) THEN 1 ELSE 0 END AS new,
+  length(regexp_extract(line, '^(#{1,6})\\s', 1)) = 1 AS top FROM c),
+e AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY ord) AS island, count(*) FILTER (head) OVER (PARTITION BY doc_id ORDER BY ord) AS section, count(*) FILTER (head AND top) OVER (PARTITION BY doc_id ORDER BY ord) AS tops FROM d),
+f AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY doc_id, tops ORDER BY ord) AS depth FROM e),
+g AS (SELECT doc_id, min(ord)::INT AS ord, min(section)::INT AS section, min(depth)::INT AS depth, kind, string_agg(line, chr(10) ORDER BY ord) AS content FROM f GROUP BY doc_id, island, kind),
+m AS (SELECT doc_id, ord, section, depth, kind, CASE kind WHEN 'header' THEN regexp_extract(content, '^(#{1,6})\\s+(.*)$', 2) WHEN 'text' THEN regexp_replace(regexp_replace(content, '^[\\s\\x{00A0}\\x{FEFF}]+', ''), '[\\s\\x{00A0}\\x{FEFF}]+$', '') ELSE content END AS content FROM g)"""
+
+
+@query(_MARKDOWN + " SELECT doc_id, ord, section, depth, kind, content, CAST(NULL AS VARCHAR) AS alt, CAST(NULL AS VARCHAR) AS src FROM m WHERE kind <> 'text' OR content <> ''")
 def markdown_fragments(spark, sf_dir):
-    return documents.markdown_fragments(t(spark, sf_dir, "documents"))
+    return documents.markdown_fragments(t(spark, sf_dir, "documents")).select("doc_id", "ord", "section", "depth", "kind", "content", "alt", "src")
 
 
-@query()
+@query(_MARKDOWN + " SELECT d.doc_id, coalesce(x.texts, []) AS texts FROM documents d LEFT JOIN (SELECT doc_id, list(content ORDER BY ord) AS texts FROM m WHERE kind <> 'text' OR content <> '' GROUP BY 1) x USING (doc_id)")
 def document_splitter(spark, sf_dir):
-    return documents.flat_texts(documents.markdown_fragments(t(spark, sf_dir, "documents")))
+    return documents.split_texts(t(spark, sf_dir, "documents"))
 
 
 @query("""SELECT p_partkey, p_name[2:2] AS char_at, strpos(p_name, 'a') - 1 AS index_of, CASE WHEN strpos(reverse(p_name), 'a') = 0 THEN -1 ELSE length(p_name) - strpos(reverse(p_name), 'a') END AS last_index,
@@ -256,11 +268,6 @@ def job_transitions(spark, sf_dir):
     return _jobs(spark, sf_dir).select("id", jobs.completed_status(F.col("error"), F.col("retryable"), F.col("retries"), F.lit(3)).alias("status"))
 
 
-@query(f"SELECT queue, count(*) FILTER (status = 'NEW') AS waiting, count(*) FILTER (status = 'COMPLETED') AS completed, count(*) AS total, sum(retries) AS retried FROM {_JOBS} GROUP BY 1")
-def job_stats(spark, sf_dir):
-    return _jobs(spark, sf_dir).groupBy("queue").agg(F.count_if(F.col("status") == "NEW").alias("waiting"), F.count_if(F.col("status") == "COMPLETED").alias("completed"), F.count("*").alias("total"), F.sum("retries").alias("retried"))
-
-
 @query(f"SELECT id, queue, run_after FROM {_JOBS} WHERE status = 'NEW' AND run_after > (SELECT min(ts) + INTERVAL 1 DAY FROM events) ORDER BY run_after, id LIMIT 100")
 def job_peek(spark, sf_dir):
     return jobs.peek(_at_first_day(spark, sf_dir), F.col("now")).select("id", "queue", "run_after")
@@ -281,7 +288,9 @@ def limiter_window_counts(spark, sf_dir):
     return jobs.window_counts(t(spark, sf_dir, "events"), "user_id", "ts", 86400).select("event_id", "in_window")
 
 
-@query()
+@query("""WITH u AS (SELECT user_id, list({'at': epoch_us(ts), 'id': event_id} ORDER BY ts, event_id) AS xs FROM events GROUP BY 1),
+r AS (SELECT user_id, list_reduce(list_transform(xs, lambda x: [x]), lambda a, b: CASE WHEN len(a) < 4 OR a[len(a) - 3].at <= b[1].at - 86400000000 THEN list_concat(a, b) ELSE a END) AS ok FROM u)
+SELECT user_id, event_id, list_contains(list_transform(ok, lambda x: x.id), event_id) AS admitted FROM events JOIN r USING (user_id)""")
 def limiter_replay(spark, sf_dir):
     return jobs.replay_limiter(t(spark, sf_dir, "events"), "user_id", "ts", "event_id", 4, 86400)
 
@@ -300,13 +309,13 @@ def event_windows(spark, sf_dir):
 
 @query("SELECT event_type, min(event_id) AS first_seen FROM events GROUP BY 1")
 def distinct_in_order(spark, sf_dir):
-    return t(spark, sf_dir, "events").groupBy("event_type").agg(F.min("event_id").alias("first_seen"))
+    return summaries.distinct_in_order(t(spark, sf_dir, "events"), "event_type", "event_id")
 
 
 @query("SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT n_name FROM nation")
 def bag_union(spark, sf_dir):
     n = t(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
-    return n.unionByName(t(spark, sf_dir, "region").select(F.col("r_name").alias("name"))).unionByName(n)
+    return summaries.bag_union(n, t(spark, sf_dir, "region").select(F.col("r_name").alias("name")), n)
 
 
 @query("SELECT c_custkey, CAST(round(least(100 * (1 - exp(-0.05 * c_nationkey)), 100)) AS DOUBLE) AS progress, least(100.0, greatest(0.0, c_acctbal)) AS clamped FROM customer")
@@ -314,7 +323,10 @@ def progress_values(spark, sf_dir):
     return t(spark, sf_dir, "customer").select("c_custkey", es5.progress_curve(F.col("c_nationkey")).alias("progress"), jobs.clamp_progress(F.col("c_acctbal")).alias("clamped"))
 
 
-@query()
+@query("""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS w FROM conversations),
+p AS (SELECT conv_id, turn, ((strpos('0123456789abcdef', md5(w)[3]) - 1) * 16 + strpos('0123456789abcdef', md5(w)[4]) - 1) % 64 AS k, 1 - 2 * ((strpos('0123456789abcdef', md5(w)[5]) - 1) % 2) AS v FROM w),
+s AS (SELECT conv_id, turn, k, sum(v) AS v FROM p GROUP BY ALL), n AS (SELECT conv_id, turn, sqrt(sum(v * v)) AS n, map(list(k), list(v)) AS m FROM s GROUP BY ALL)
+SELECT c.conv_id, c.turn, list_transform(range(64), lambda i: CASE WHEN coalesce(n, 0) = 0 THEN 0.0 ELSE CAST(coalesce(m[i], 0) AS DOUBLE) / n END) AS vector FROM conversations c LEFT JOIN n USING (conv_id, turn)""")
 def text_embedding(spark, sf_dir):
     docs = t(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return models.dispatch(docs, "TextEmbeddingTask", "offline", ["text"], "vector").select("conv_id", "turn", "vector")
