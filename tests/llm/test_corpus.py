@@ -346,6 +346,27 @@ def test_main_text_on_generated_pages():
     assert right / wanted > 0.95 and right / given > 0.95
 
 
+@pytest.mark.parametrize("unseen, least", [(("section",), 0.84), (("bare",), 0.9), (("id main", "class entry", "div"), 0.94), (("article", "main", "main article", "header inside"), 0.95)])
+def test_main_text_of_unseen_layouts(unseen, least):
+    seen = tuple(x for x in html_text.LAYOUTS if x not in unseen)
+    trees, rng = html_text.trained(layouts=seen), np.random.default_rng(98)
+    right = wanted = given = 0
+    for _ in range(120):
+        page, kept = html_text.synthetic_page(rng, unseen)
+        got = html_text.extract([page], trees)[0]
+        right, wanted, given = right + len({*got} & {*kept}), wanted + len({*kept}), given + len({*got})
+    assert right / wanted > least and right / given > 0.94
+
+
+@pytest.mark.parametrize("wrap", ["{}", "<div>{}</div>", "<section>{}</section>", '<div id="main">{}</div>', '<div class="entry">{}</div>', '<div class="xyz">{}</div>', "<article>{}</article>"])
+def test_main_text_of_long_plain_articles(wrap):
+    menu = "<ul>" + "".join(f'<li><a href="/{i}">Item {i}</a></li>' for i in range(6)) + "</ul>"
+    for n in (3, 11, 101, 1001):
+        blocks = [f"Paragraph {i} of the story, with several words, commas, and a full stop at its end." for i in range(n)]
+        page = f"<html><head><title>t</title><body>{menu}{wrap.format(''.join(f'<p>{b}</p>' for b in blocks))}<footer>&copy; x</footer></body></html>"  # a head without an end
+        assert html_text.extract([page], html_text.trained())[0] == blocks
+
+
 def test_bins_refute_only_what_is_far():
     rng = np.random.default_rng(5)
     for n in (1, 7, 60, 400, 5000):

@@ -3,14 +3,19 @@
 A page becomes a tree of block elements and text runs. Each node has features of its subtree
 (text length, link density, punctuation), its attributes' tokens, its depth, its siblings and
 the same of its ancestors; boosted trees give each node the log-odds of being main text. The
-decoder picks the best set of nodes in which no node is kept under a dropped one: from the
-leaves up, a subtree is kept if its own score and its children's best sum up to more than 0.
+decoder first draws the odds of like siblings together, so that one paragraph of many does not
+fall by its place, and then picks the best set of nodes in which no node is kept under a dropped
+one: from the leaves up, a subtree is kept if its own score and its children's best sum up to more
+than 0.
 
 The trees are fitted to pages that a seeded generator lays out with known labels (menus,
 headers, sidebars, notices, adverts, forms, comments, footers around and inside articles), so
-no page of the corpus is needed. Cases: null or empty html gives an empty text; unclosed or
-cut-off markup is closed where HTML says so, and a cut-off tag at the end is dropped; scripts,
-styles, heads and controls are never text; whole pages are read.
+no page of the corpus is needed. Articles come with and without attributes or tags that name
+them, down to paragraphs right in the body. Cases: null or empty html gives an empty text; unclosed
+or cut-off markup is closed where HTML says so (also a head without an end), and a cut-off tag at
+the end is dropped; scripts, styles, heads and controls are never text; pages of any length are
+read whole; rows that repeat an id are read each for itself; a null id or url stays null; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from __future__ import annotations
 import functools
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +38,7 @@ _ATTR = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "svg", "math"}
+HEAD = {"head", "title", "base", "link", "meta", "style", "script", "noscript", "template"}
 GONE = {"head", "select", "button", "option", "datalist", "object", "canvas"}
 CONTAINER = {"html", "body", "div", "article", "main", "section", "header", "footer", "nav", "aside", "form", "fieldset", "ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "tr", "figure", "details", "center", "menu", "dialog"}
 LEAF = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "blockquote", "pre", "figcaption", "caption", "address", "summary", "legend", "label"}
@@ -103,6 +110,11 @@ def parse(html: str) -> list[Node]:
         elif name == "html":
             pass
         else:
+            if name not in HEAD:  # what does not belong there ends an open head
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == "head":
+                        del stack[k:]
+                        break
             shut, border = _CLOSES.get(name, ((), ()))
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in shut:
@@ -151,6 +163,13 @@ def features(nodes: list[Node]) -> np.ndarray:
     total, before = max(1, nodes[0].size), 0
     rows = []
     depth = [0] * n
+    # places among siblings, and tags of each parent's children, counted once a parent
+    place, tags = [0] * n, [Counter() for _ in range(n)]
+    for x in nodes:
+        for k, kid in enumerate(x.kids):
+            if hasattr(kid, "index"):
+                place[kid.index] = k
+        tags[x.index] = Counter(kid.tag for kid in x.kids)
     for i, x in enumerate(nodes):
         up = x.parent
         if up is None:
@@ -158,10 +177,8 @@ def features(nodes: list[Node]) -> np.ndarray:
             continue
         p = up.index if hasattr(up, "index") else 0
         depth[i] = depth[p] + 1
-        sibs = up.kids
-        kin = len(sibs)
-        rank = sibs.index(x) if kin < 64 else 32
-        same = sum(s.tag == x.tag for s in sibs) if kin < 64 else kin
+        kin = len(up.kids)
+        rank, same = place[i], tags[p][x.tag]
         size = max(1, x.size)
         rows.append((depth[i], x.size, x.links / size, marks[i] / size * 100, paragraphs[i], kin, rank / kin, same, x.size / max(1, up.size), x.size / total, before / total, len(x.kids), up.links / max(1, up.size), up.size))
         before += len("".join(x.raw)) if x.raw else 0
@@ -235,8 +252,51 @@ class Boosted:
         return out
 
 
+def agreed(nodes: list[Node], margin: np.ndarray) -> np.ndarray:
+    """Margins drawn to the mean of their like, the more the more there are: siblings of one tag and the same attribute tokens, and the text runs right inside such."""
+    names: dict[tuple, int] = {}
+    kin = np.empty(len(nodes), np.int64)
+    for i, x in enumerate(nodes):
+        up = x.parent
+        if up is None:
+            like: tuple = (-1,)
+        elif x.raw and up.tag in LEAF and up.parent is not None:
+            like = (up.parent.index if hasattr(up.parent, "index") else 0, "#", up.tag, up.own)
+        else:
+            like = (up.index if hasattr(up, "index") else 0, x.tag, "", x.own)
+        kin[i] = names.setdefault(like, len(names))
+    size = np.bincount(kin)
+    weight = (size / (size + 2))[kin]
+    return (1 - weight) * margin + weight * (np.bincount(kin, margin) / size)[kin]
+
+
+#: Prose is a run of at least so many characters, with at most this share of links and at least so many full stops and commas a character.
+PROSE_CHARS, PROSE_LINKS, PROSE_MARKS = 60, 0.2, 0.01
+#: The odds under which even the likeliest prose of a page is no article.
+LEAST_ODDS = -4.0
+
+
 def decode(nodes: list[Node], margin: np.ndarray) -> list[bool]:
-    """The best choice in which every kept node has all its ancestors kept."""
+    """The best choice in which every kept node has all its ancestors kept.
+
+    Where that leaves nothing of a page that has prose, all odds are raised until its likeliest prose is kept:
+    dense prose outweighs the lack of a tag or attribute that names it.
+    """
+    margin = agreed(nodes, margin)
+    keep = _chosen(nodes, margin)
+    if any(k and x.raw for k, x in zip(keep, nodes)):
+        return keep
+    prose = [i for i, x in enumerate(nodes) if x.raw and _is_prose(x)]
+    best = max((float(margin[i]) for i in prose), default=LEAST_ODDS)
+    return _chosen(nodes, margin + (0.5 - best)) if best > LEAST_ODDS else keep
+
+
+def _is_prose(x: Node) -> bool:
+    raw = "".join(x.raw)
+    return len(raw) >= PROSE_CHARS and x.link <= PROSE_LINKS * len(raw) and raw.count(".") + raw.count(",") >= PROSE_MARKS * len(raw)
+
+
+def _chosen(nodes: list[Node], margin: np.ndarray) -> list[bool]:
     best = [float(m) * (1 + min(3.0, len(x.raw) and np.log1p(x.size) / 2)) for x, m in zip(nodes, margin)]
     best[0] = 0.0
     for i in range(len(nodes) - 1, 0, -1):
@@ -250,7 +310,19 @@ def decode(nodes: list[Node], margin: np.ndarray) -> list[bool]:
     return keep
 
 
-def synthetic_page(rng: np.random.Generator) -> tuple[str, list[str]]:
+#: How an article may be wrapped; {name} is one of NAMES, {word} any word.
+LAYOUTS = {
+    "article": "<article>{body}</article>", "main": "<main>{body}</main>", "main article": "<main><article>{body}</article></main>", "class": '<div class="{name}">{body}</div>', "id": '<div id="{name}">{body}</div>',
+    "header inside": "<article><header>{head}</header>{body}</article>", "div": "<div>{body}</div>", "section": "<section>{body}</section>", "id main": '<div id="main">{body}</div>', "role main": '<div role="main">{body}</div>',
+    "class body": '<div class="body">{body}</div>', "class entry": '<div class="entry">{body}</div>', "any class": '<div class="{word}">{body}</div>', "bare": "{body}", "nested": '<div><div class="{word}"><div>{body}</div></div></div>',
+    "table": "<table><tr><td>{body}</td></tr></table>", "center": "<center>{body}</center>", "row": '<div class="row"><div class="col">{body}</div>{side}</div>',
+}
+#: The layouts that half of the pages have; the others share the rest.
+USUAL = ("article", "article", "main", "main article", "class", "id", "header inside")
+NAMES = ("content", "article", "post", "entry-content", "story", "article-body", "main-content", "post-content", "text")
+
+
+def synthetic_page(rng: np.random.Generator, layouts: tuple[str, ...] = tuple(LAYOUTS)) -> tuple[str, list[str]]:
     """A page and the block texts of its article. Words are drawn from a made-up vocabulary."""
     pick = lambda *c: c[rng.integers(len(c))]
     words = lambda lo, hi: " ".join("".join(pick("ka", "the", "ri", "on", "est", "mu", "la", "der", "en", "vo", "ti", "s") for _ in range(rng.integers(1, 4))) for _ in range(rng.integers(lo, hi)))
@@ -296,23 +368,27 @@ def synthetic_page(rng: np.random.Generator) -> tuple[str, list[str]]:
     some = lambda p, k=3: "".join(clutter() for _ in range(rng.integers(1, k + 1))) if rng.random() < p else ""
     top = some(0.4) + pick(f"<nav>{menu()}</nav>", f"<header{pick('', attr('header', 'masthead'))}>{pick('', f'<h1>{words(1, 4)}</h1>')}{pick(menu(), f'<nav>{menu()}</nav>', sentence())}</header>", f"<div{attr('nav', 'menu', 'navigation', 'header')}>{menu()}</div>", "") + some(0.7)
     body = main("h1", words(2, 9)) if rng.random() < 0.8 else ""
-    for _ in range(rng.integers(1, 14)):
+    for _ in range(rng.integers(14, 60) if rng.random() < 0.1 else rng.integers(1, 14)):
         body += pick(*[lambda: main("p", prose(6))] * 7, lambda: main("p", words(1, 4) + "."), lambda: main("h2", words(1, 6)), lambda: "<ul>" + "".join(main("li", sentence()) for _ in range(3)) + "</ul>", lambda: main("blockquote", prose(2)), lambda: some(0.5, 1), lambda: f"<figure><img>{main('figcaption', sentence())}</figure>", lambda: "<table><tr>" + main("td", words(1, 4)) + main("td", words(1, 4)) + "</tr></table>")()
     body += some(0.3)
-    name = pick("content", "article", "post", "entry-content", "story", "article-body", "main-content", "post-content", "text")
-    body = pick(*[f"<article>{body}</article>"] * 4, f"<main>{body}</main>", f"<main><article>{body}</article></main>", f'<div class="{name}">{body}</div>', f'<div id="{name}">{body}</div>', f"<article><header>{main('h1', words(2, 7))}</header>{body}</article>" if not body.startswith("<h1>") else f"<article>{body}</article>")
+    usual = [x for x in USUAL if x in layouts]
+    layout = LAYOUTS[pick(*usual) if usual and rng.random() < 0.5 else pick(*layouts)]
+    head = main("h1", words(2, 7)) if "{head}" in layout else ""
+    if head:
+        kept.insert(0, kept.pop())
+    body = layout.format(body=body, head=head, name=pick(*NAMES), word=words(1, 2).replace(" ", "-"), side=some(0.6) if "{side}" in layout else "")
     foot = some(0.6) + pick("", f"<footer>{pick(sentence(), menu(), f'<p>{sentence()}</p>')}</footer>", f"<footer>&copy; {words(1, 3)} &middot; {prose(2)}</footer>", f"<div{attr('footer', 'copyright', 'legal')}>{sentence()}</div>")
     page = top + pick(body, f'<div class="{pick("wrapper", "container", "page")}">{body}{some(0.4)}</div>') + foot
     return f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{page}</body></html>", kept
 
 
 @functools.cache
-def trained(pages: int = 350, seed: int = 7) -> Boosted:
-    """The trees, fitted to generated pages. A node's label: whether an article's text is in it."""
+def trained(pages: int = 700, seed: int = 7, layouts: tuple[str, ...] = tuple(LAYOUTS)) -> Boosted:
+    """The trees, fitted to generated pages of these layouts. A node's label: whether an article's text is in it."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
     for _ in range(pages):
-        page, kept = synthetic_page(rng)
+        page, kept = synthetic_page(rng, layouts)
         nodes = parse(page)
         xs.append(features(nodes))
         wanted = set(kept)
