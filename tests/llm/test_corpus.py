@@ -112,10 +112,39 @@ def test_decontamination_by_blocks(spark, monkeypatch):
 
 
 def test_proximity(spark):
-    phrases = dec.Phrases(["1"], ["alpha beta gamma"])
-    index = dec.build_index(frame(spark, [(1, "gamma x alpha y beta"), (2, "alpha beta"), (3, "alpha " + "z " * 40 + "beta gamma")]), phrases.vocabulary)
-    phrases.order_by(dec.frequencies(index, 3))
-    assert {r.doc_id: len(r["items"]) for r in dec.lookup(index, phrases, slop=5).collect()} == {1: 1, 2: 0, 3: 0}
+    docs = frame(spark, [(1, "gamma x alpha y beta"), (2, "alpha beta"), (3, "alpha " + "z " * 40 + "beta gamma"), (None, "beta alpha gamma")])
+    got = dec.proximity(docs, spark.createDataFrame([(7, "alpha beta gamma")], "item_id bigint, text string"), 5)
+    assert {(r.doc_id, r["item"]) for r in got.collect()} == {(1, "7"), (None, "7")}
+
+
+def test_index_holds_the_postings_of_every_term(spark, monkeypatch):
+    texts = ["b a b", "", None, "Ünï b", "a " * 50]
+    index = dec.build_index(frame(spark, [(i, t) for i, t in enumerate(texts)]).coalesce(1))
+    got = {r.term: (r.n, np.frombuffer(r.docs, "<u2").tolist(), np.frombuffer(r.positions, "<u4").tolist()) for r in index.filter("term <> ''").collect()}
+    assert {k: v[0] for k, v in got.items()} == {"a": 51, "b": 3, "Ünï": 1}
+    assert got["b"] == (3, [0, 0, 3], [0, 2, 1]) and got["Ünï"] == (1, [3], [0])
+    row = index.filter("term = ''").first()
+    assert row.doc_ids == [0, 1, 2, 3, 4] and row.n_words == [3, 0, 0, 2, 50]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    import pyarrow as pa
+
+    real = tokens.words
+
+    def clash(data, offsets):
+        h, at, first = real(data, offsets)
+        return h % np.uint64(3), at, first
+
+    monkeypatch.setattr(tokens, "words", clash)
+    segment = dec.Segment()
+    text = "one two three four two one five"
+    _, _, data, off = next(tokens.text_slices(pa.array([text])))
+    segment.add(pa.array([9]), data, off)
+    rows = pa.Table.from_batches(segment.rows(5)).to_pylist()[1:]
+    assert {r["term"]: np.frombuffer(r["positions"], "<u4").tolist() for r in rows} == {"one": [0, 5], "two": [1, 4], "three": [2], "four": [3], "five": [6]}
+    with pytest.raises(ValueError):
+        dec.Phrases(["i"], [text])
 
 
 def brute_lcs_links(texts):

@@ -88,6 +88,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h, at, np.searchsorted(at, offsets)
 
 
+def word_sizes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bytes of every word of words()."""
+    keep = WORD[data] != 0
+    last = keep.copy()
+    last[:-1] &= ~keep[1:]
+    ends = offsets[1:][offsets[1:] > offsets[:-1]] - 1
+    last[ends] = keep[ends]
+    first = keep.copy()
+    first[1:] &= ~keep[:-1]
+    begins = offsets[:-1][offsets[:-1] < len(data)]
+    first[begins] = keep[begins]
+    return np.flatnonzero(last) + 1 - np.flatnonzero(first)
+
+
 def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words, and each document's first one; a shorter, not empty, document is one run."""
     counts = np.diff(first)
