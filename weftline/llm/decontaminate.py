@@ -35,7 +35,7 @@ from weftline.llm.common import save, prepare
 
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
-SEGMENT_WORDS = 2_000_000
+SEGMENT_WORDS = 1_000_000
 #: n postings of a term: the documents' places in the segment (u16) and the positions (u32); or, with an empty term, the segment's documents.
 INDEX = "segment bigint, hash bigint, term string, n int, docs binary, positions binary, doc_ids array<bigint>, n_words array<int>"
 DOCUMENTS = 1 << 16

@@ -10,7 +10,9 @@ retrieved in this way are verified: the share of their shingles found in the tex
 
 The templates are the stated query set; all work is done row by row, without a shuffle. Cases:
 null and empty texts, and texts of fewer than five words, match nothing; templates of fewer
-than five words are rejected; rows that repeat a doc_id are scanned each for itself.
+than five words are rejected; rows that repeat a doc_id are scanned each for itself; a null id stays
+null; texts of any length are scanned whole; templates that tie are all returned; an empty table
+gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ of 64-line words: only words with dropped lines are stored; text does not travel
 
 Keys are compared by two 64-bit hashes (128 bits). Cases: null or empty text is one empty
 line; null ids count as one document, below all others; rows that repeat an id and a text get
-the same bitmap; rows that repeat an id with another text are parts of one document.
+the same bitmap; rows that repeat an id with another text are parts of one document; texts of any
+length are split whole; an empty table gives no rows; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations

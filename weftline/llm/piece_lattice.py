@@ -10,7 +10,10 @@ that holds the space mark itself, and no prefix is added.
 
 Pieces never cross the border before a space, so texts are cut there and each distinct part of
 a slice is filtered once. Cases: null and empty texts have no pieces; a null key counts as 0;
-rows that repeat a key and text get the same pieces.
+rows that repeat a key and text get the same pieces; texts of any length are encoded whole, in time
+linear in their bytes (a text without spaces is one part, sampled piece by piece); pieces of equal
+weight are drawn alike; an empty table gives no rows; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations

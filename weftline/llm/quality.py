@@ -8,7 +8,11 @@ coordinate descent on at most PER_CLASS rows of each class with texts of at most
 characters; a quarter of that sample is kept apart to turn margins into probabilities.
 
 Cases: null and empty texts have no features and get the intercept's score; without labels of
-both classes the score is the label mean (0.5 without labels).
+both classes the score is the label mean (0.5 without labels); texts of any length are scored whole
+(only fitting leaves out rows beyond TRAIN_CHARS, before its sample is drawn); rows that repeat an
+id or text are scored each for itself, and equal texts get equal scores (ties); a null id stays null
+and is never trained on; an empty table gives no rows; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -123,7 +127,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     counted, sizes = bounded_sample(labels, count_per_class)
     counts = src.join(F.broadcast(counted), "doc_id").select("text", "y").mapInArrow(count, "f int, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # 2**BITS rows at most
-    sample, _ = bounded_sample(labels, per_class)
+    short = src.filter(F.length("text") <= train_chars)
+    sample, _ = bounded_sample(labels.join(short.select("doc_id").distinct(), "doc_id", "left_semi"), per_class)
     if min(sizes.get(0, 0), sizes.get(1, 0)) == 0:
         mean = 0.5 if not sizes else float(sizes.get(1, 0) > 0)
         return QualityModel(np.zeros(1 << BITS), 0.0, 1.0, float(np.log((mean + 1e-6) / (1 - mean + 1e-6))))
@@ -132,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for v in (0, 1):
         n[v][at] += counts.column(f"n{v}").to_numpy()
     ratio = np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum())
-    rows = src.filter(F.length("text") <= train_chars).join(F.broadcast(sample), "doc_id").mapInArrow(collect, "doc_id bigint, y int, f binary").toArrow().sort_by("doc_id")
+    rows = short.join(F.broadcast(sample), "doc_id").mapInArrow(collect, "doc_id bigint, y int, f binary").toArrow().sort_by("doc_id")
     y = rows.column("y").to_numpy()
     f = [np.frombuffer(x.as_py(), np.int32) for x in rows.column("f")]
     got = np.bincount(y, minlength=2)

@@ -10,7 +10,10 @@ PER_CLASS rows of each class, whole texts of any length, weighted back to the cl
 same sentence scores then locate the offending sentences.
 
 Cases: null and empty texts have no sentences and get the score of an empty document, the
-base alone; without labels of both classes the score is the label mean (0 without labels).
+base alone; without labels of both classes the score is the label mean (0 without labels); texts of
+any length are read whole, in training too; rows that repeat an id or text are scored each for
+itself, and equal texts get equal scores (ties); a null id stays null and is never trained on; an
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
