@@ -35,10 +35,12 @@ from weftline.llm.common import save, prepare
 
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
-SEGMENT_WORDS = 1_000_000
+SEGMENT_WORDS = 600_000
 #: n postings of a term: the documents' places in the segment (u16) and the positions (u32); or, with an empty term, the segment's documents.
 INDEX = "segment bigint, hash bigint, term string, n int, docs binary, positions binary, doc_ids array<bigint>, n_words array<int>"
 DOCUMENTS = 1 << 16
+#: Index rows handed over at once.
+ROWS = 20_000
 HITS = "row bigint, doc_id bigint, n_words bigint, n_hit bigint, items array<string>, begins array<int>, ends array<int>"
 
 
@@ -122,8 +124,8 @@ class Segment:
         yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([0]), pa.array([""]), pa.array([0], pa.int32()), none(pa.binary()), none(pa.binary()), whole(ids), whole(n_words)], names=names)
         docs, positions = doc.astype("<u2"), pos.astype("<u4")
         cut = np.append(new, len(h))
-        for lo in range(0, len(new), 100_000):
-            mine = cut[lo : lo + 100_001]
+        for lo in range(0, len(new), ROWS):
+            mine = cut[lo : lo + ROWS + 1]
             n = len(mine) - 1
             a, b = int(mine[0]), int(mine[-1])
             letters = size[mine[:-1]]
