@@ -66,9 +66,10 @@ def embedding(text: Column, size: int = 64) -> Column:
     def put(held: Column, p: Column) -> Column:
         return F.transform(held, lambda x, i: F.when(i == p["k"], x + p["v"]).otherwise(x))
 
-    counts = F.aggregate(places, zeros, put)
-    norm = F.sqrt(F.aggregate(counts, F.lit(0), lambda t, x: t + x * x))
-    return F.transform(counts, lambda x: F.when(norm == 0, 0.0).otherwise(x / norm))
+    # lambda variables hold what was worked out, so each step is done once
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0), lambda t, x: t + x * x))
+    both = F.transform(F.array(F.aggregate(places, zeros, put)), lambda c: F.struct(c.alias("c"), norm(c).alias("n")))
+    return F.get(F.transform(both, lambda s: F.transform(s["c"], lambda x: F.when(s["n"] == 0, 0.0).otherwise(x / s["n"]))), F.lit(0))
 
 
 def rewrite_prompt(prompt: Column, text: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -75,30 +77,37 @@ def top_k(corpus: DataFrame, query: list[float] | DataFrame, k: int | None, vect
 def top_k_of_each(corpus: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", tie: str = "vec_id", query_id: str = "query_id", query: str = "query", rows: int = 1024) -> DataFrame:
     """(query_id, tie, score): the k best by cosine for each query of a stated query table (query_id, query).
 
-    Queries are gathered in blocks of `rows`, so a task meets one block of queries with one Arrow batch of the
-    corpus at a time, scores them by one matrix product and keeps k for each query; then k of those few.
+    The queries are read in blocks of `rows`, which bounds what a task is sent; each block meets every Arrow batch
+    of the corpus in one matrix product, which keeps k for each query; then k of those few.
     """
-    key = F.pmod(F.xxhash64(query_id), F.greatest(F.lit(1), F.ceil(F.count("*").over(W.partitionBy()) / rows)))
-    blocks = queries.select(F.col(query_id).alias("q"), doubles(F.col(query)).alias("x"), key.alias("b")).groupBy("b").agg(F.collect_list(F.struct("q", "x")).alias("qs"))
     kind = queries.schema[query_id].dataType.simpleString()
     tie_kind = corpus.schema[tie].dataType.simpleString()
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for _, part in pdf.groupby("b"):
-                held = part["qs"].iloc[0]
-                q = np.array([r["x"] for r in held], float)
-                v = np.stack(part["v"].to_numpy()).astype(float)
-                scores = (q @ v.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1))
-                ids = part["t"].to_numpy()
-                for i, r in enumerate(held):
-                    top = np.lexsort((ids, -scores[i]))[:k]
-                    yield pd.DataFrame({query_id: r["q"], tie: ids[top], "score": scores[i][top]})
-
-    src = corpus.select(F.col(tie).alias("t"), F.col(vector).alias("v")).crossJoin(F.broadcast(blocks))
-    few = src.mapInPandas(best, f"{query_id} {kind}, {tie} {tie_kind}, score double")
+    src = corpus.select(F.col(tie).alias("t"), doubles(F.col(vector)).alias("v"))
+
+    def block(ids: list[Any], q: np.ndarray) -> DataFrame:
+        size = np.linalg.norm(q, axis=1)
+
+        def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                if len(pdf):
+                    v, t = np.stack(pdf["v"].to_numpy()), pdf["t"].to_numpy()
+                    scores = (q @ v.T) / np.outer(size, np.linalg.norm(v, axis=1))
+                    top = [np.lexsort((t, -s))[:k] for s in scores]
+                    yield pd.DataFrame({query_id: np.repeat(np.array(ids), [len(x) for x in top]), tie: t[np.concatenate(top)], "score": np.concatenate([s[x] for s, x in zip(scores, top)])})
+
+        return src.mapInPandas(best, f"{query_id} {kind}, {tie} {tie_kind}, score double")
+
+    found: list[DataFrame] = []
+    held: list[Any] = []
+    for row in queries.select(query_id, doubles(F.col(query)).alias("x")).toLocalIterator():
+        held.append(row)
+        if len(held) == rows:
+            found.append(block([r[0] for r in held], np.array([r[1] for r in held], float)))
+            held = []
+    if held or not found:
+        found.append(block([r[0] for r in held], np.array([r[1] for r in held], float).reshape(len(held), -1)) if held else corpus.limit(0).select(F.lit(None).cast(kind).alias(query_id), tie, F.lit(0.0).alias("score")))
     rank = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("score"), tie))
-    return few.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
+    return reduce(DataFrame.unionByName, found).withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
 
 
 def checked_vectors(df: DataFrame, columns: list[str], normalized: list[str] | None = None) -> DataFrame:
