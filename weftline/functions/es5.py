@@ -36,7 +36,8 @@ def number_text(x: Column) -> Column:
     near = F.when(e >= 0, F.rpad(digits, F.greatest(e + 1, F.length(digits)), "0")).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits))
     whole = F.when((e >= 0) & (F.length(digits) > e + 1), F.concat(F.substr(digits, F.lit(1), e + 1), F.lit("."), F.substr(digits, e + 2))).otherwise(near)
     text = F.when(power == "", F.regexp_replace(raw, r"\.0$", "")).when((e >= 21) | (e < -6), far).otherwise(F.concat(sign, whole))
-    return F.when(F.isnan(d), "NaN").when(d == float("inf"), "Infinity").when(d == -float("inf"), "-Infinity").when(d == 0, "0").otherwise(F.coalesce(text, plain))
+    whole_number = (F.abs(d) < 9e15) & (d == F.floor(d))  # nearly all numbers of a table: no patterns for them
+    return F.when(whole_number, d.cast("bigint").cast("string")).when(F.isnan(d), "NaN").when(d == float("inf"), "Infinity").when(d == -float("inf"), "-Infinity").when(d == 0, "0").otherwise(F.coalesce(text, plain))
 
 
 def text_of(x: Column, kind: str) -> Column:
